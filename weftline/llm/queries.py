@@ -11,6 +11,7 @@ from .budget import token_budget
 from .chunking import split_oversized
 from .common import table
 from .encode import encode_ids
+from .markup import clean_markup
 from .pack import pack
 from .repeated_lines import repeated, sequences, without_repeated
 
@@ -45,6 +46,19 @@ def p4_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget(table(spark, d, "point_payloads"), table(spark, d, "language_tags"))
 
 
+_MARKUP = {"contents": ("content_id", {"markdown": False, "plain_text": True}), "point_payloads": ("row_id", {"text": False})}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    out = [clean_markup(table(spark, d, t), key, columns, with_text=False).where(F.size("kinds") > 0).select(F.lit(t).alias("source_table"), "record_id") for t, (key, columns) in _MARKUP.items()]
+    return out[0].unionByName(out[1])
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    out = [clean_markup(table(spark, d, t), key, columns).withColumn("source_table", F.lit(t)) for t, (key, columns) in _MARKUP.items()]
+    return out[0].unionByName(out[1], allowMissingColumns=True)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_ids(table(spark, d, "documents"))
 
@@ -53,7 +67,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), capacity=limits(spark, d, "container")[0])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_clean, p3_sequences, p4_budget, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p8_ids, p9_containers)}
 
 _REPEATED = """
 WITH lines AS (
