@@ -14,6 +14,7 @@ from .encode import encode_ids
 from .markup import clean_markup
 from .pack import pack
 from .repeated_lines import repeated, sequences, without_repeated
+from .wrapper import furniture, main_body
 
 
 def limits(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
@@ -59,6 +60,18 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1], allowMissingColumns=True)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return furniture(table(spark, d, "contents"))
+
+
+def p6_main(spark: SparkSession, d: str) -> DataFrame:
+    return main_body(table(spark, d, "contents"), "content_id", "url", "markdown")
+
+
+def p6_main_html(spark: SparkSession, d: str) -> DataFrame:
+    return main_body(table(spark, d, "fetch_results"), "fetch_id", "url", "html", html=True)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_ids(table(spark, d, "documents"))
 
@@ -67,7 +80,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), capacity=limits(spark, d, "container")[0])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p8_ids, p9_containers)}
 
 _REPEATED = """
 WITH lines AS (
