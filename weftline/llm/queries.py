@@ -14,6 +14,7 @@ from .encode import encode_ids
 from .markup import clean_markup
 from .pack import pack
 from .repeated_lines import repeated, sequences, without_repeated
+from .residue import residue
 from .wrapper import furniture, main_body
 
 
@@ -31,6 +32,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where((F.col("piece_index") == 0) & (F.col("source_tokens") > limit)).select("chunk_id")
 
 
+def p2_marked(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "fetch_results"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_marked(spark, d).where("residue").select("fetch_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated(table(spark, d, "point_payloads")).select("row_id", "line_no")
 
@@ -80,7 +89,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), capacity=limits(spark, d, "container")[0])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p8_ids, p9_containers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p8_ids, p9_containers)}
 
 _REPEATED = """
 WITH lines AS (
