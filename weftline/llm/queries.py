@@ -15,6 +15,7 @@ from .markup import clean_markup
 from .pack import pack
 from .repeated_lines import repeated, sequences, without_repeated
 from .residue import residue
+from .toxicity import rates, score_content
 from .wrapper import furniture, main_body
 
 
@@ -89,7 +90,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), capacity=limits(spark, d, "container")[0])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p8_ids, p9_containers)}
+def p10_scored(spark: SparkSession, d: str) -> DataFrame:
+    return score_content(table(spark, d, "documents"), table(spark, d, "toxicity_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scored(spark, d).where("unacceptable").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(p10_scored(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
 
 _REPEATED = """
 WITH lines AS (
