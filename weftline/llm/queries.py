@@ -12,6 +12,7 @@ from .chunking import split_oversized
 from .common import table
 from .encode import encode_ids
 from .markup import clean_markup
+from .neardup import expand, groups, similar_pairs
 from .pack import pack
 from .repeated_lines import repeated, sequences, without_repeated
 from .residue import residue
@@ -82,6 +83,20 @@ def p6_main_html(spark: SparkSession, d: str) -> DataFrame:
     return main_body(table(spark, d, "fetch_results"), "fetch_id", "url", "html", html=True)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return expand(*similar_pairs(table(spark, d, "contents"))).select(F.col("a").alias("content_id_a"), F.col("b").alias("content_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return groups(table(spark, d, "contents"))
+
+
+def p7_group_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of the pages of each group."""
+    pages = p7_groups(spark, d).join(table(spark, d, "contents").select("content_id", "url"), "content_id").where(F.col("url").isNotNull()).select("group_id", "url").distinct()
+    return table(spark, d, "point_payloads").join(pages, "url").select("group_id", "url", "row_id", "chunk_index")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_ids(table(spark, d, "documents"))
 
@@ -102,7 +117,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(p10_scored(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p7_found, p7_groups, p7_group_chunks, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
 
 _REPEATED = """
 WITH lines AS (
