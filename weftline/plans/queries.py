@@ -5,6 +5,248 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as ft
+from ..functions import urls as fu
+from ..operators import relational as rel
+from ..operators import vector as vec
+from ..session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{d}/{name}.parquet")
+
+
+def _like(needles: list[str]) -> str:
+    return " OR ".join(f"contains(lower(url), '{n}')" for n in needles)
+
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_TYPE = "CASE WHEN url IS NULL THEN NULL " + " ".join(f"WHEN {_like(v)} THEN '{k}'" for k, v in fu.DOMAIN_TYPES.items()) + " ELSE 'generic' END"
+
+
+@query(f"SELECT {_TYPE} AS domain_type, source_type, count(*) AS pages, CAST(sum(word_count) AS BIGINT) AS words FROM contents GROUP BY ALL")
+def page_domain_type(spark, d):
+    return read(spark, d, "contents").groupBy(fu.domain_type(F.col("url")).alias("domain_type"), "source_type").agg(F.count("*").alias("pages"), F.sum("word_count").alias("words"))
+
+
+@query(f"SELECT regexp_replace({_HOST}, '^www\\.', '') AS domain, count(*) AS documents, min(url) AS first_url FROM contents GROUP BY ALL")
+def pages_per_host(spark, d):
+    return rel.domains(read(spark, d, "contents"), "url")
+
+
+@query(r"SELECT fetch_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url FROM fetch_results")
+def url_canonical_index(spark, d):
+    return read(spark, d, "fetch_results").select("fetch_id", fu.index_form(F.col("url")).alias("url"))
+
+
+@query(
+    r"""WITH p AS (SELECT fetch_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$', ['s','h','p','t','q','f']) AS x FROM fetch_results)
+SELECT fetch_id, CASE WHEN x.s = '' THEN url ELSE lower(x.s) || '://' || lower(x.h) || x.p || CASE WHEN x.t = '' THEN '/' WHEN length(x.t) > 1 AND x.t LIKE '%/' THEN x.t[:-2] ELSE x.t END || x.q END AS url FROM p"""
+)
+def url_canonical_crawl(spark, d):
+    return read(spark, d, "fetch_results").select("fetch_id", fu.crawl_form(F.col("url")).alias("url"))
+
+
+@query("SELECT url, fetch_id, epoch_us(fetched_at) AS fetched_us FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at, fetch_id) AS r FROM fetch_results) WHERE r = 1")
+def url_dedup_first_wins(spark, d):
+    return rel.first_wins(read(spark, d, "fetch_results"), ["url"], ["fetched_at", "fetch_id"]).select("url", "fetch_id", F.unix_micros("fetched_at").alias("fetched_us"))
+
+
+_LINKS = """WITH l AS (SELECT content_id, url, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS v, links FROM contents),
+o AS (SELECT url, unnest(links).href AS href FROM l WHERE v = 1), n AS (SELECT url, unnest(links).href AS href FROM l WHERE v = 2)"""
+
+
+@query(_LINKS + " SELECT url, 'added' AS change, href FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.url = n.url AND o.href = n.href) UNION ALL SELECT url, 'removed', href FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.url = o.url AND n.href = o.href)")
+def links_added_removed(spark, d):
+    w = rel.Window.partitionBy("url").orderBy("fetched_at", "content_id")
+    v = read(spark, d, "contents").select("url", "links", F.row_number().over(w).alias("v"))
+    return rel.link_changes(v.where("v = 1"), v.where("v = 2"), "url")
+
+
+@query("SELECT content_id, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos, unnest(links).text AS text, unnest(links).href AS href FROM contents")
+def page_links(spark, d):
+    return rel.links_of(read(spark, d, "contents"), "content_id")
+
+
+_SNAP = "WITH l AS (SELECT url, title, author, language, markdown, word_count, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS v FROM contents WHERE url IS NOT NULL), o AS (SELECT * FROM l WHERE v = 1), n AS (SELECT * FROM l WHERE v = 2) "
+
+
+@query(
+    _SNAP
+    + """, j AS (SELECT coalesce(o.url, n.url) AS url, o.v AS ov, n.v AS nv, coalesce(n.word_count, 0) - coalesce(o.word_count, 0) AS delta,
+concat_ws(',', CASE WHEN o.author IS DISTINCT FROM n.author THEN 'author' END, CASE WHEN o.language IS DISTINCT FROM n.language THEN 'language' END, CASE WHEN o.markdown IS DISTINCT FROM n.markdown THEN 'markdown' END, CASE WHEN o.title IS DISTINCT FROM n.title THEN 'title' END) AS c FROM o FULL JOIN n ON o.url = n.url)
+SELECT url, CASE WHEN ov IS NULL THEN 'New' WHEN nv IS NULL THEN 'Removed' WHEN c <> '' OR delta <> 0 THEN 'Changed' ELSE 'Same' END AS status, delta AS word_count_delta, CASE WHEN ov IS NULL OR nv IS NULL THEN '' ELSE c END AS changed FROM j"""
+)
+def snapshot_diff(spark, d):
+    w = rel.Window.partitionBy("url").orderBy("fetched_at", "content_id")
+    v = read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "title", "author", "language", "markdown", "word_count", F.row_number().over(w).alias("v"))
+    return rel.snapshot_status(v.where("v = 1"), v.where("v = 2"), "url", ["title", "author", "language", "markdown"])
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_docs(spark, d):
+    return rel.exact_duplicates(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(r"SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len([x for x in regexp_split_to_array(text, '[ \t\n\r\f]+') if x <> '']) END AS words FROM documents")
+def word_count(spark, d):
+    return read(spark, d, "documents").select("doc_id", ft.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) SELECT doc_id, line_no, line[:120] AS line FROM l WHERE regexp_matches(line, '(?i)retry|frontier')")
+def grep_lines(spark, d):
+    return rel.grep(read(spark, d, "documents"), "doc_id", "text", "retry|frontier").withColumn("line_no", F.col("line_no").cast("long"))
+
+
+_TOKENS = r"[x for x in regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+') if x <> '']"
+
+
+@query(
+    "WITH s AS (SELECT url, title, " + " + ".join(f"(list_contains({_TOKENS.format('url')}, '{t}') OR list_contains({_TOKENS.format('title')}, '{t}'))::INT" for t in ("guide", "score", "column"))
+    + " AS score, CASE WHEN regexp_matches(regexp_replace(url, '\\?.*$', ''), '/(LICENSE|README\\.md|CHANGELOG\\.md|CHANGELOG)$') THEN 2 WHEN regexp_replace(url, '\\?.*$', '') LIKE '%all.html' THEN 1 ELSE 0 END AS penalty FROM (SELECT DISTINCT url, title FROM contents)) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, penalty, strlen(url), url, title LIMIT 20"
+)
+def retrieve_topk(spark, d):
+    best = rel.top_scored(read(spark, d, "contents").select("url", "title").distinct(), "guide of the score column", 100_000_000)
+    return best.orderBy(F.desc("score"), "penalty", F.octet_length("url"), "url", "title").limit(20)
+
+
+@query(
+    """WITH l AS (SELECT content_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS n FROM contents),
+o AS (SELECT content_id, line, n, coalesce(sum(length(line) + 1) OVER (PARTITION BY content_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+h AS (SELECT content_id, off, trim(regexp_replace(line, '^#{1,3} +', '')) AS title FROM o WHERE regexp_matches(line, '^#{1,3} ')),
+c AS (SELECT content_id, unnest(generate_series(0, length(markdown) - 1, 1000)) AS char_offset FROM contents WHERE markdown <> '')
+SELECT c.content_id, c.char_offset, h.title AS heading FROM c ASOF LEFT JOIN h ON c.content_id = h.content_id AND c.char_offset >= h.off"""
+)
+def heading_asof(spark, d):
+    pages = read(spark, d, "contents").where("markdown <> ''")
+    cuts = pages.select("content_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("markdown") - 1).cast("long"), F.lit(1000).cast("long"))).alias("char_offset"))
+    return rel.heading_as_of(cuts, rel.headings_of(pages, "content_id", "markdown"), "content_id")
+
+
+@query("SELECT url, content_hash FROM (SELECT DISTINCT url, content_hash FROM contents WHERE url IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM point_payloads p WHERE p.url = c.url AND p.content_hash = c.content_hash)")
+def delta_scan(spark, d):
+    return rel.not_indexed(read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "content_hash").distinct(), read(spark, d, "point_payloads"), ["url", "content_hash"])
+
+
+@query("SELECT point_id, row_id, url, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY indexed_at DESC, row_id DESC) AS r FROM point_payloads) WHERE r = 1")
+def upsert_points(spark, d):
+    p = read(spark, d, "point_payloads").select("point_id", "row_id", "url", "chunk_index", F.struct("indexed_at", "row_id").alias("v"))
+    return rel.upsert(p.limit(0), p, "point_id", "v").select("point_id", "row_id", "url", "chunk_index")
+
+
+@query("WITH k AS (SELECT DISTINCT url, point_id FROM point_payloads WHERE chunk_index = 0) SELECT row_id FROM point_payloads p WHERE NOT (EXISTS (SELECT 1 FROM k WHERE k.url = p.url) AND NOT EXISTS (SELECT 1 FROM k WHERE k.url = p.url AND k.point_id = p.point_id) AND p.chunk_index > 3)")
+def delete_stale_points(spark, d):
+    p = read(spark, d, "point_payloads")
+    kept = p.where("chunk_index = 0 or chunk_index <= 3").select("url", "point_id").distinct()
+    touched = p.where("chunk_index = 0").select("url").distinct()
+    stale = p.join(touched, "url", "left_semi").where("chunk_index > 3").join(kept.join(touched, "url", "left_semi"), ["url", "point_id"], "left_anti").select("row_id")
+    return p.select("row_id").join(stale, "row_id", "left_anti")
+
+
+@query("SELECT user_id, event_id, epoch_us(ts) AS ts_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS w FROM events) WHERE u = 1 OR w <= 4")
+def changelog_cap(spark, d):
+    return rel.cap_history(read(spark, d, "events"), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@query("WITH s AS (SELECT CASE WHEN row_number() OVER w = 1 THEN 'New' WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 'Same' ELSE 'Changed' END AS status FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT status, count(*) AS n FROM s GROUP BY 1")
+def watch_status_counts(spark, d):
+    return rel.changes_over_time(read(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH b AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\n+')) AS block, generate_subscripts(regexp_split_to_array(text, '\\n\\n+'), 1) AS pos FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) AS r FROM b) SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS text FROM k WHERE strlen(block) < 20 OR r = 1 GROUP BY doc_id"
+)
+def dedup_blocks(spark, d):
+    return rel.dedup_blocks(read(spark, d, "documents"), "doc_id", "text")
+
+
+_LOW = "lower(html)"
+_BOT = f"(contains({_LOW}, '_cf_chl_opt') OR contains({_LOW}, 'challenge-platform') OR contains({_LOW}, 'geo.captcha-delivery.com') OR contains({_LOW}, 'captcha-delivery.com/captcha') OR contains({_LOW}, 'awswaf-captcha') OR contains({_LOW}, 'aws-waf-client-browser') OR ((contains({_LOW}, 'just a moment') OR contains({_LOW}, 'checking your browser')) AND contains({_LOW}, 'cf-spinner')) OR ((contains({_LOW}, 'cf-turnstile') OR contains({_LOW}, 'challenges.cloudflare.com/turnstile')) AND strlen(html) < 100000) OR (contains({_LOW}, 'hcaptcha.com') AND contains({_LOW}, 'h-captcha') AND strlen(html) < 50000))"
+
+
+@query(f"SELECT fetch_id, coalesce({_BOT}, false) AS bot_protected FROM fetch_results")
+def bot_protected(spark, d):
+    return read(spark, d, "fetch_results").select("fetch_id", ft.bot_protected(F.col("html")).alias("bot_protected"))
+
+
+_WORDS = r"len([x for x in regexp_split_to_array(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+') if x <> ''])"
+
+
+@query(f"SELECT fetch_id, coalesce(contains(html, '<script') AND ((w < 50 AND strlen(html) > 5000) OR (w < 800 AND strlen(html) > 50000 AND ({' OR '.join(f'contains({_LOW}, {chr(39)}{m}{chr(39)})' for m in ft.APP_MARKS)}))), false) AS needs_js FROM (SELECT *, {_WORDS} AS w FROM fetch_results)")
+def needs_js(spark, d):
+    return read(spark, d, "fetch_results").select("fetch_id", ft.needs_scripts(ft.word_count(F.regexp_replace("html", r"<[^>]*>", " ")), F.col("html")).alias("needs_js"))
+
+
+@query(r"SELECT fetch_id FROM fetch_results WHERE regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/(guide|help)/[^/]*$') AND NOT regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/.*\-\d\d$')")
+def glob_include_exclude(spark, d):
+    path = fu.part(F.col("url"), 4)
+    return read(spark, d, "fetch_results").where(fu.glob_match(path, ["/guide/*", "/help/*"]) & ~path.rlike(r"^/.*\-\d\d$")).select("fetch_id")
+
+
+@query(r"SELECT content_id, concat_ws(chr(10), '> URL: ' || nullif(url, ''), '> Title: ' || nullif(title, ''), '> Author: ' || nullif(author, ''), '> Published: ' || nullif(published_date, ''), '> Language: ' || nullif(language, ''), CASE WHEN word_count > 0 THEN '> Word count: ' || word_count END) AS header FROM contents")
+def metadata_header(spark, d):
+    c = F.col
+    return read(spark, d, "contents").select("content_id", ft.metadata_header(c("url"), c("title"), c("author"), c("published_date"), c("language"), c("word_count")).alias("header"))
+
+
+_DOT = "list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])"
+
+
+def _knn_sql(where: str = "", dims: int = 64) -> str:
+    cut = f"[:{dims}]"
+    return f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, p.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding{cut}::DOUBLE[], p.embedding{cut}::DOUBLE[]) DESC, p.vec_id) AS rank, list_dot_product(q.embedding{cut}::DOUBLE[], p.embedding{cut}::DOUBLE[]) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0 {where}) WHERE rank <= 10"
+
+
+def _knn(points: DataFrame, all_points: DataFrame, dims: int) -> DataFrame:
+    cut = lambda df: df.withColumn("embedding", vec.truncate(F.col("embedding"), dims))
+    queries = cut(all_points).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vec.knn(cut(points), queries, 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(_knn_sql())
+def knn_topk(spark, d):
+    e = read(spark, d, "embeddings")
+    return _knn(e, e, 64)
+
+
+@query(_knn_sql("AND p.label = 1"))
+def knn_filtered(spark, d):
+    e = read(spark, d, "embeddings")
+    return _knn(e.where("label = 1"), e, 64)
+
+
+@query(_knn_sql(dims=16))
+def mrl_truncate_knn(spark, d):
+    e = read(spark, d, "embeddings")
+    return _knn(e, e, 16)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price FROM lineitem GROUP BY ALL")
+def generic_aggregate(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"))
+
+
+@query("SELECT source_type, is_truncated, count(*) AS points, count(DISTINCT url) AS urls, epoch_us(min(indexed_at)) AS first_indexed, epoch_us(max(indexed_at)) AS last_indexed FROM point_payloads GROUP BY ALL")
+def point_counts(spark, d):
+    return read(spark, d, "point_payloads").groupBy("source_type", "is_truncated").agg(F.count("*").alias("points"), F.countDistinct("url").alias("urls"), F.unix_micros(F.min("indexed_at")).alias("first_indexed"), F.unix_micros(F.max("indexed_at")).alias("last_indexed"))
+
+
+@query("SELECT row_id, chunk_index, count(*) OVER (PARTITION BY url) AS chunks_here FROM point_payloads WHERE chunk_index < 100")
+def chunks_per_page(spark, d):
+    p = read(spark, d, "point_payloads").where("chunk_index < 100")
+    return p.select("row_id", "chunk_index", F.count("*").over(rel.Window.partitionBy("url")).alias("chunks_here"))
