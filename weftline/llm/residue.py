@@ -1,7 +1,7 @@
 """Problem 2: pages without content: gaps of templates, dummy copy, error and refusal messages, demands for scripts.
 
 Messages are mined as templates with a prefix tree of fixed depth (number of
-words, then the first two words); within a leaf, texts of enough equal words are
+words, then the first three words); within a leaf, texts of enough equal words are
 one template and the words that differ its slots.  A template is classified once,
 by how often its pages hold a text of their own, and the verdict goes to all
 pages that show it.  Gaps and dummy copy are told inside any page.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from operator import eq
 
 import pandas as pd
 import xxhash
@@ -170,8 +171,11 @@ def has_gap(kind: str, text: str) -> bool:
 _SLOTS = re.compile(r"https?://\S+|(?<![\w<])/[\w\-./%?=&#]+|\b[0-9a-f]{6,}\b|\d+(?:[.:,\-]\d+)*", re.I)
 
 
+_VARIES = re.compile(r"[\d/]")
+
+
 def masked(text: str) -> str:
-    return _SLOTS.sub("<*>", text)
+    return _SLOTS.sub("<*>", text) if _VARIES.search(text) else text
 
 
 def _hash(text: str) -> int:
@@ -185,7 +189,7 @@ _WORD = re.compile(r"<\*>|[^\W_぀-鿿]+|[぀-鿿]|\S")
 def leaf(text: str) -> tuple[list[str], str]:
     """The words of a masked text and its leaf in the prefix tree."""
     words = _WORD.findall(text)
-    return words, f"{len(words)}\x1f" + "\x1f".join(words[:2])
+    return words, f"{len(words)}\x1f" + "\x1f".join(words[:3])
 
 
 class Leaf:
@@ -193,24 +197,26 @@ class Leaf:
 
     def __init__(self) -> None:
         self.templates: list[list[str]] = []
-        self.names: list[int] = []
+        self.slots: list[int] = []
 
     def add(self, words: list[str]) -> int:
         """Index of the template that *words* belong to; it gets slots where they differ."""
-        best, most = -1, 0.0
-        for i, t in enumerate(self.templates):
-            same = sum(a == b or a == "<*>" for a, b in zip(t, words)) / max(1, len(words))
+        best, most = -1, 0
+        for i, (t, slots) in enumerate(zip(self.templates, self.slots)):
+            same = sum(map(eq, t, words)) + slots
             if same > most:
                 best, most = i, same
-        if most >= SIMILAR:
-            self.templates[best] = [a if a == b else "<*>" for a, b in zip(self.templates[best], words)]
+        if best >= 0 and most >= SIMILAR * len(words):
+            merged = [a if a == b else "\x00" for a, b in zip(self.templates[best], words)]  # a slot equals no word
+            self.templates[best], self.slots[best] = merged, merged.count("\x00")
             return best
-        self.templates.append(list(words))
+        self.templates.append(words)
+        self.slots.append(0)
         return len(self.templates) - 1
 
 
 def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Rows (_key, _url, _host, _title, gap, code, trace, kind, long, chars, _mask): one for each block, or one without for a page that shows none."""
+    """Rows (_key, _url, _host, _title, gap, code, trace, kind, long, chars, _mask, _x): one for each block, or one without for a page that shows none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -227,40 +233,40 @@ def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 kept = [(kind, text, free) for kind, text, free in found if kind not in ("link", "title")]
                 for kind, text, free in kept:
                     mask = masked(text)
-                    rows.append((k, page, host, title, gap, bool(code), trace, kind, len(mask.split()) > MINED_WORDS or len(mask) > 12 * MINED_WORDS, max(0, free), mask))
+                    rows.append((k, page, host, title, gap, bool(code), trace, kind, len(mask.split()) > MINED_WORDS or len(mask) > 12 * MINED_WORDS, max(0, free), mask, _hash(mask)))
                 if not kept:
-                    rows.append((k, page, host, title, gap, bool(code), trace, "", False, 0, None))
-            yield pd.DataFrame(rows, columns=["_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "long", "chars", "_mask"])
+                    rows.append((k, page, host, title, gap, bool(code), trace, "", False, 0, None, None))
+            yield pd.DataFrame(rows, columns=["_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "long", "chars", "_mask", "_x"]).astype({"_x": "Int64"})
 
     kind = df.schema[key].dataType.simpleString()
     some = df.where(F.col(html).isNotNull() & (F.length(html) > 0))
-    return some.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html")).mapInPandas(run, f"_key {kind}, _url long, _host long, _title long, gap boolean, code boolean, trace boolean, kind string, long boolean, chars int, _mask string")
+    return some.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html")).mapInPandas(run, f"_key {kind}, _url long, _host long, _title long, gap boolean, code boolean, trace boolean, kind string, long boolean, chars int, _mask string, _x long")
 
 
 def mine(texts: DataFrame) -> DataFrame:
-    """Rows (_text, _template, notice): the template of each distinct masked text of *texts* (_mask), as hashes.
+    """Rows (_x, _template, notice): the template of each distinct masked text of *texts* (_x, _mask), as hashes.
 
     Leaves of the prefix tree are spread over the cluster and worked through one
     after the other, so no leaf is gathered; a leaf keeps only its templates.
     """
-    mask = F.col("_mask")
 
     def key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(_leaf=[leaf(t)[1] for t in pdf["_mask"]])
+            split = [leaf(t) for t in pdf["_mask"]]
+            yield pd.DataFrame({"_x": pdf["_x"], "_leaf": [s[1] for s in split], "_words": ["\x1f".join(s[0]) for s in split], "notice": [bool(_NOTICE.search(t)) for t in pdf["_mask"]]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, own = None, Leaf()
         for pdf in frames:
-            rows = []
-            for name, text in zip(pdf["_leaf"], pdf["_mask"]):
+            found = []
+            for name, words in zip(pdf["_leaf"], pdf["_words"]):
                 if name != current:
                     current, own = name, Leaf()
-                rows.append((_hash(text), _hash(f"{name}\x1e{own.add(leaf(text)[0])}"), bool(_NOTICE.search(text))))
-            yield pd.DataFrame(rows, columns=["_text", "_template", "notice"])
+                found.append(_hash(f"{name}\x1e{own.add(words.split(chr(31)))}"))
+            yield pd.DataFrame({"_x": pdf["_x"], "_template": found, "notice": pdf["notice"]})
 
-    distinct = texts.select(mask).distinct().mapInPandas(key, "_mask string, _leaf string")
-    return distinct.repartition("_leaf").sortWithinPartitions("_leaf", "_mask").mapInPandas(run, "_text long, _template long, notice boolean")
+    distinct = texts.groupBy("_x").agg(F.min("_mask").alias("_mask")).mapInPandas(key, "_x long, _leaf string, _words string, notice boolean")
+    return distinct.repartition("_leaf").sortWithinPartitions("_leaf", "_words").mapInPandas(run, "_x long, _template long, notice boolean")
 
 
 def residue(df: DataFrame, key: str = "fetch_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -275,12 +281,9 @@ def residue(df: DataFrame, key: str = "fetch_id", url: str = "url", html: str =
     shown = pages.where(F.col("_mask").isNotNull())
     short = shown.where(~F.col("long"))
     # A hash of the text joins blocks and templates; texts themselves are shuffled only once, distinct.
-    hashed = F.xxhash64("_mask")
-    known = stored(mine(short), "templates").select("_text", "_template", "notice")
-    digest = stored(short.select("_mask").distinct().mapInPandas(_digests, "_mask string, _text long").select(hashed.alias("_x"), "_text"), "digests")
-    mapping = digest.join(known, "_text").select("_x", "_template", "notice")
-    own = shown.select("_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "long", "chars", hashed.alias("_x"))
-    judged = stored(own.join(mapping, "_x", "left").withColumn("_t", F.coalesce("_template", "_x")).drop("_x", "_template"), "judged")
+    known = stored(mine(short), "templates")
+    own = shown.select("_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "long", "chars", "_x")
+    judged = stored(own.join(known, "_x", "left").withColumn("_t", F.coalesce("_template", "_x")).drop("_x", "_template"), "judged")
     # How many pages show a template: distinct (template, page) pairs, so that no page or template is gathered.
     seen = judged.where(F.col("kind") != "noscript").select("_t", "_url", "_host").distinct()
     # Copies of a page under other addresses keep its title, so a text of few titles is a page's own.
@@ -314,8 +317,3 @@ def residue(df: DataFrame, key: str = "fetch_id", url: str = "url", html: str =
     )
     out = df.select(F.col(key)).join(state.select(F.col("_key").alias(key), reason.alias("reason")).where(F.col("reason").isNotNull()), key, "left")
     return out.select(key, F.col("reason").isNotNull().alias("residue"), "reason")
-
-
-def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        yield pdf.assign(_text=[_hash(t) for t in pdf["_mask"]])
