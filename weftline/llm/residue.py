@@ -87,7 +87,20 @@ _DUMMY = re.compile(rf"^[\W_]*(?:{'|'.join(DUMMY)})", re.I)
 _YOURS = re.compile(r"(?:^|[.!?:,]\s+|^\w+ )your [\w ]{2,40} goes here\W*$", re.I)
 _NOTICE = re.compile(NOTICE, re.I)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words of which a notice in Latin script has at least one; texts in other scripts are always searched.
+_NOTICE_WORDS = frozenset(
+    "error forbidden found unavailable gateway denied gone server access permission rights requests limit maintenance back again robot human verify checking traffic captcha script scripts javascript java cookies wrong fault exist removed missing timeout "
+    "wartung gefunden verweigert zugriff berechtigung später serverfehler roboter mensch skript skripte skripten introuvable accès erreur réessayez tard mantenimiento encuentra encontró encontrado existe acceso tarde manutenção encontrada acesso erro".split()
+)
+
+
+def is_notice(text: str, words: list[str]) -> bool:
+    """Whether a text has the words of a notice."""
+    plain = max(text) < "\u0370"
+    return (not plain or not _NOTICE_WORDS.isdisjoint(w.lower() for w in words)) and bool(_NOTICE.search(text))
+
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)>", re.S)
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")  # such a character says as much as two or more others
 _RAW = frozenset(("script", "style", "template", "textarea", "svg"))
 _CODE = frozenset(("pre", "code", "kbd", "samp"))
@@ -105,7 +118,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, int]], str]:
         nonlocal linked, text
         if text:
             joined = "".join(text)
-            whole = re.sub(r"\s+", " ", unescape(joined)).strip()
+            whole = " ".join((unescape(joined) if "&" in joined else joined).split())
             if whole:
                 out.append(("noscript" if noscript else "link" if kind == "text" and linked >= len(joined.strip()) else kind, whole, len(whole) - linked + (0 if whole.isascii() else len(_WIDE.findall(whole)))))
             text = []
@@ -253,7 +266,7 @@ def mine(texts: DataFrame) -> DataFrame:
     def key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             split = [leaf(t) for t in pdf["_mask"]]
-            yield pd.DataFrame({"_x": pdf["_x"], "_leaf": [s[1] for s in split], "_words": ["\x1f".join(s[0]) for s in split], "notice": [bool(_NOTICE.search(t)) for t in pdf["_mask"]]})
+            yield pd.DataFrame({"_x": pdf["_x"], "_leaf": [s[1] for s in split], "_words": ["\x1f".join(s[0]) for s in split], "notice": [is_notice(t, s[0]) for t, s in zip(pdf["_mask"], split)]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, own = None, Leaf()
