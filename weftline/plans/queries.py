@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..functions import urls as fu
+from ..operators import chunk, extract
 from ..operators import relational as rel
+from ..operators import store
 from ..operators import vector as vec
+from ..operators.crawl import crawl
 from ..session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +253,28 @@ def point_counts(spark, d):
 def chunks_per_page(spark, d):
     p = read(spark, d, "point_payloads").where("chunk_index < 100")
     return p.select("row_id", "chunk_index", F.count("*").over(rel.Window.partitionBy("url")).alias("chunks_here"))
+
+
+@query()
+def extract_markdown(spark, d):
+    return extract.extract_pages(read(spark, d, "fetch_results"))
+
+
+@query()
+def page_chunks(spark, d):
+    return chunk.chunk_pages(read(spark, d, "contents"), target=256)
+
+
+@query()
+def crawl_levels(spark, d):
+    pages = read(spark, d, "contents").where(F.col("url").isNotNull())
+    links = pages.select("url", F.explode("links.href").alias("href"))
+    start = pages.groupBy("url").agg(F.max(F.size("links")).alias("n")).orderBy(F.desc("n"), "url").first()["url"]
+    return crawl(spark, links, start, max_depth=2, max_pages=200)
+
+
+@query("WITH l AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS v FROM contents WHERE url IS NOT NULL) SELECT url, count(*) AS fetch_count FROM l WHERE v <= 2 GROUP BY url")
+def store_merge(spark, d):
+    w = rel.Window.partitionBy("url").orderBy("fetched_at", "content_id")
+    v = read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "title", "markdown", "fetched_at", F.row_number().over(w).alias("v"))
+    return store.merge(store.merge(None, v.where("v = 1").drop("v")), v.where("v = 2").drop("v")).select("url", "fetch_count")
