@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..functions import urls as fu
-from ..operators import chunk, extract
+from ..operators import brand, chunk, extract, readable, verticals
 from ..operators import relational as rel
 from ..operators import store
 from ..operators import vector as vec
@@ -278,3 +278,27 @@ def store_merge(spark, d):
     w = rel.Window.partitionBy("url").orderBy("fetched_at", "content_id")
     v = read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "title", "markdown", "fetched_at", F.row_number().over(w).alias("v"))
     return store.merge(store.merge(None, v.where("v = 1").drop("v")), v.where("v = 2").drop("v")).select("url", "fetch_count")
+
+
+@query()
+def readable_text(spark, d):
+    return readable.to_readable(read(spark, d, "contents"), "content_id", "markdown")
+
+
+_CSS = r"""WITH c AS (SELECT fetch_id, concat_ws(';', array_to_string(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1), ';'), array_to_string(regexp_extract_all(html, '(?is)\sstyle\s*=\s*"([^"]*)"', 1), ';')) AS css FROM fetch_results),
+d AS (SELECT fetch_id, unnest(regexp_extract_all(css, '(?i)([a-z-]+\s*:\s*[^;{}]+)', 1)) AS x FROM c),
+h AS (SELECT fetch_id, lower(regexp_extract(x, '^([A-Za-z-]+)', 1)) AS property, '#' || lower(regexp_extract(regexp_extract(x, ':\s*(.*)$', 1), '#([0-9a-fA-F]{6})', 1)) AS hex FROM d),
+g AS (SELECT fetch_id, hex, count(*) AS n FROM h WHERE length(hex) = 7 AND hex NOT IN (""" + ", ".join(f"'{c}'" for c in brand.PLAIN_COLOURS) + """) GROUP BY ALL)
+SELECT fetch_id, hex, n AS count, rank FROM (SELECT *, row_number() OVER (PARTITION BY fetch_id ORDER BY n DESC, hex) AS rank FROM g) WHERE rank <= 10"""
+
+
+@query(_CSS)
+def brand_colours(spark, d):
+    found = brand.colours(brand.declarations(read(spark, d, "fetch_results"), "fetch_id", "html"), "fetch_id")
+    return found.select("fetch_id", "hex", "count", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT user_id, json_extract_string(props, '$.page') AS page, count(*) AS n FROM events GROUP BY ALL")
+def event_properties(spark, d):
+    page = F.try_variant_get(F.try_parse_json("props"), "$.page", "string")
+    return read(spark, d, "events").groupBy("user_id", page.alias("page")).agg(F.count("*").alias("n"))
