@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A fixed namespace, so that point ids stay the same over restarts.
 NAMESPACE = uuid.UUID("6f6b1f0a-2b0e-5b52-9d53-0f5d2c7a9e11")
@@ -66,13 +67,13 @@ def knn(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("p").alias(key), "score", "rank")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def point_id(url: pd.Series, index: pd.Series) -> pd.Series:
     """UUIDv5 of the URL and chunk number."""
     return pd.Series([None if u is None or pd.isna(i) else str(uuid.uuid5(NAMESPACE, f"{u}#chunk{int(i)}")) for u, i in zip(url, index)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def file_hash(data: pd.Series) -> pd.Series:
     """XXH3-64 in hexadecimal (Spark's xxhash64 is another function)."""
     import xxhash
