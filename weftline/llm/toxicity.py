@@ -33,6 +33,8 @@ LABELLED_DOCS = 3_000
 LABELLED_CHARS = 8_000_000
 #: What each word of a run pays, the discount of Kneser-Ney, and the weight of an acceptable document when the threshold is set (labels over-represent the others).
 TOLL, DISCOUNT, ORDINARY_WEIGHT = 0.6, 0.75, 6.0
+#: Evidence (log-likelihood ratio after tolls) below which no text is unacceptable, however few the labels are.
+LEAST_EVIDENCE = 12.0
 CACHE_WORDS = 400_000
 
 #: Letters that look alike, and signs that stand for letters.
@@ -262,7 +264,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[Model, float]:
     held = held_out(docs, y)
     bar = threshold(held, y)
     keep = ~((y == 0) & (held > 2 * bar))
-    bar = threshold(held[keep], y[keep])
+    bar = max(LEAST_EVIDENCE, threshold(held[keep], y[keep]))
     return fit([d for d, k in zip(docs, keep) if k], y[keep].tolist()), bar
 
 
