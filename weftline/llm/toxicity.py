@@ -14,6 +14,7 @@ sentences of unacceptable documents until they settle.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -241,9 +242,10 @@ def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     hits = np.cumsum(y)
     wrong = np.cumsum(1 - y) * ORDINARY_WEIGHT
     f1 = 2 * hits / np.maximum(1, hits + wrong + y.sum())
-    best = int(np.flatnonzero(f1 >= 0.998 * f1.max())[-1])  # the lowest of those that are as good
-    s = scores[order]
-    return float((s[best] + (s[best + 1] if best + 1 < len(s) else s[best])) / 2)
+    good = np.flatnonzero(f1 >= 0.998 * f1.max())
+    s = np.maximum(scores[order], 1e-6)
+    low = s[min(good[-1] + 1, len(s) - 1)]
+    return float(math.sqrt(s[good[0]] * (s[good[-1]] + low) / 2))  # the middle of those that are as good
 
 
 def held_out(docs: list[Sentences], y: np.ndarray, folds: int = 2) -> np.ndarray:
