@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Labelled documents of either class that are fitted on, at most; the first by hash. Fit only: every document is scored.
-LABELLED_DOCS = 3_000
+LABELLED_DOCS = 5_000
 #: Characters of the labelled documents of either class, at most (whole documents).
-LABELLED_CHARS = 8_000_000
+LABELLED_CHARS = 12_000_000
 #: What each word of a run pays, the discount of Kneser-Ney, and the weight of an acceptable document when the threshold is set (labels over-represent the others).
 TOLL, DISCOUNT, ORDINARY_WEIGHT = 0.6, 0.75, 6.0
 #: Evidence (log-likelihood ratio after tolls) below which no text is unacceptable, however few the labels are.
