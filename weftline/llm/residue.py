@@ -74,7 +74,9 @@ NOTICE = (
     r"|en maintenance|introuvable|accès (?:refusé|interdit)|erreur (?:interne|du serveur)|réessayez|plus tard|pas un robot|(?:javascript|scripts?).{0,40}(?:activ|autoris|nécessaire)"
     r"|mantenimiento|no (?:se )?(?:encuentra|encontr|existe)|acceso (?:denegado|prohibido)|error (?:interno|del servidor)|más tarde|no eres un robot|(?:javascript|scripts?).{0,40}(?:activ|habilit|permit|necesari)"
     r"|manutenção|não (?:foi )?encontrad|acesso negado|erro (?:interno|do servidor)|mais tarde|não é um robô|(?:javascript|scripts?).{0,40}(?:ativ|habilit|permit|necess)"
-    r"|техническ\w+ работ|обслуживани|не найден|доступ (?:запрещ|закрыт)|ошибка сервера|позже|не робот|(?:javascript|скрипт).{0,40}(?:включ|разреш|нуж)|нужны скрипты|что-то пошло не так"
+)
+NOTICE_OTHER = (
+    r"техническ\w+ работ|обслуживани|не найден|доступ (?:запрещ|закрыт)|ошибка сервера|позже|не робот|(?:javascript|скрипт).{0,40}(?:включ|разреш|нуж)|нужны скрипты|что-то пошло не так"
     r"|メンテナンス|見つかりません|アクセスが?(?:拒否|禁止)|エラーが発生|サーバー ?エラー|ロボットでは|(?:javascript|スクリプト).{0,30}(?:有効|必要|許可)|後でもう一度|しばらくして"
     r"|维护|未找到|不存在|拒绝访问|禁止访问|服务器错误|稍后再试|不是机器人|(?:javascript|脚本).{0,20}(?:启用|开启|需要|允许)|出错了"
     r"|صيانة|غير موجود|تم رفض|خطأ في الخادم|لاحقا|لست روبوت"
@@ -85,19 +87,20 @@ _CASED = re.compile("|".join(g for g in GAPS if "[A-Z]" in g))
 _ANYCASE = re.compile("|".join(g for g in GAPS if "[A-Z]" not in g), re.I)
 _DUMMY = re.compile(rf"^[\W_]*(?:{'|'.join(DUMMY)})", re.I)
 _YOURS = re.compile(r"(?:^|[.!?:,]\s+|^\w+ )your [\w ]{2,40} goes here\W*$", re.I)
-_NOTICE = re.compile(NOTICE, re.I)
+_NOTICE, _NOTICE_OTHER = re.compile(NOTICE, re.I), re.compile(NOTICE_OTHER, re.I)
 
-#: Words of which a notice in Latin script has at least one; texts in other scripts are always searched.
+#: Words of which a notice in Latin script has at least one; other scripts have words of their own.
 _NOTICE_WORDS = frozenset(
-    "error forbidden found unavailable gateway denied gone server access permission rights requests limit maintenance back again robot human verify checking traffic captcha script scripts javascript java cookies wrong fault exist removed missing timeout "
+    "error forbidden found unavailable gateway denied gone server access permission rights requests rate maintenance soon shortly later robot human verify checking traffic captcha script scripts javascript java cookies wrong fault exist removed timeout "
     "wartung gefunden verweigert zugriff berechtigung später serverfehler roboter mensch skript skripte skripten introuvable accès erreur réessayez tard mantenimiento encuentra encontró encontrado existe acceso tarde manutenção encontrada acesso erro".split()
 )
 
 
 def is_notice(text: str, words: list[str]) -> bool:
     """Whether a text has the words of a notice."""
-    plain = max(text) < "\u0370"
-    return (not plain or not _NOTICE_WORDS.isdisjoint(w.lower() for w in words)) and bool(_NOTICE.search(text))
+    if not text.isascii() and max(text) >= "\u0370" and _NOTICE_OTHER.search(text):
+        return True
+    return not _NOTICE_WORDS.isdisjoint(w.lower() for w in words) and bool(_NOTICE.search(text))
 
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)>", re.S)
