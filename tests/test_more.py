@@ -59,3 +59,26 @@ def test_fetch(spark):
     assert [tuple(r) for r in fetch.url_list(lines).collect()] == [("https://e.com/a", "my name"), ("https://e.com/a,b.html", None)]
     kinds = spark.createDataFrame([("https://e.com/x.PDF?y", None), ("https://e.com/", "application/json"), ("https://e.com/a.docx", "")], "u string, t string").select(fetch.kind(F.col("u"), F.col("t"))).collect()
     assert [k[0] for k in kinds] == ["pdf", "json", "document"]
+
+
+def test_readable_steps():
+    from weftline.operators import readable as r
+
+    assert r.strip_alt_noise("Image of a cat\ntext") == "text"
+    assert r.merge_heading_paragraph("## Fast\nFast and safe") == "## Fast and safe"
+    assert r.dedup_sections("# A\nx\n# A\nx\n# A\ny\n") == "# A\nx\n# A\ny\n"
+    assert r.strip_class_lines("flex items-center text-sm\nreal words here") == "real words here"
+    assert r.collapse_word_lists(" ".join(["token"] * 60)).endswith("...") and r.collapse_word_lists("short") == "short"
+    assert r.dedup_lines("a line of more than twenty\nother\na line of more than twenty") == "a line of more than twenty\nother"
+    assert r.dedup_teasers("A description that is long enough\nA description that is long enough Learn more") == "A description that is long enough"
+    assert "```\nImage of x\n```" in r.readable("```\nImage of x\n```")[0]
+
+
+def test_sql_names(spark):
+    from weftline.functions.register import register
+
+    register(spark)
+    assert spark.sql("select page_markdown('<h1>A</h1><p>b</p>', 'https://e.com')").first()[0] == "# A\n\nb"
+    assert spark.sql("select readable_text('**a**')").first()[0] == "a"
+    assert spark.sql("select * from markdown_chunks('# H\n\nsome words')").first()["section_header"] == "H"
+    assert spark.sql("select url from sitemap_urls('<urlset><url><loc>https://a/</loc></url></urlset>')").first()[0] == "https://a/"

@@ -143,10 +143,114 @@ def merge_stat_lines(text: str) -> str:
     return re.sub(r"(?m)^([^\n]{1,25})\n\n([^\n]+)$", join, text)
 
 
+#: Openings of alternative texts, and words of style classes.
+ALT_OPENINGS = ("image of", "photo of", "picture of", "screenshot of", "illustration of", "icon of", "logo of", "an image", "a photo", "a picture", "a screenshot", "avatar of")
+FUNCTION_WORDS = frozenset("the a an of in and or for to with is are was were be it this that on at by from as not but we you they".split())
+_CLASS_WORD = re.compile(r"^(?:[a-z]+(?:-[a-z0-9]+)+|[a-z]+:[a-z0-9-]+|(?:flex|grid|block|hidden|relative|absolute|truncate|underline|container))$")
+
+
+@outside_fences
+def strip_alt_noise(text: str) -> str:
+    """Lines that only describe an image, and halves of image marks, are dropped."""
+    out = []
+    for line in text.split("\n"):
+        low = line.strip().lower()
+        if (low.startswith(ALT_OPENINGS) and len(low.encode()) < 80) or re.fullmatch(r"!?\[[^\]]*\]?\(?|\)", low) and low:
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
+@outside_fences
+def strip_long_descriptions(text: str) -> str:
+    return "\n".join(x for x in text.split("\n") if not (len(x.encode()) >= 80 and x.strip().lower().startswith(ALT_OPENINGS)) and not x.strip().startswith("This element contains"))
+
+
+@outside_fences
+def collapse_word_lists(text: str) -> str:
+    """A line of 200 bytes and 25 words or more that has hardly a function word is a dump of words: its first 20 stay."""
+    out = []
+    for line in text.split("\n"):
+        words = line.split()
+        dump = len(line.encode()) >= 200 and len(words) >= 25 and line.isascii() and not re.search(r"[.!?:;|]", line) and sum(w.lower().strip(",") in FUNCTION_WORDS for w in words) < 0.05 * len(words)
+        out.append(" ".join(words[:20]) + " ..." if dump else line)
+    return "\n".join(out)
+
+
+def dedup_teasers(text: str) -> str:
+    """A line that repeats the one before, or only adds "learn more" or the like to it, is dropped."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        bare = re.sub(r"(?i)\s*(?:learn|read|see|show) more\W*$", "", line).strip()
+        last = next((x.strip() for x in reversed(out) if x.strip()), "")
+        if bare and last and len(bare) > 20 and bare == re.sub(r"(?i)\s*(?:learn|read|see|show) more\W*$", "", last):
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
+def merge_heading_paragraph(text: str) -> str:
+    """A heading that the next line repeats or goes on with becomes the longer of the two."""
+    def longer(m: re.Match) -> str:
+        mark, head, line = m.group(1), m.group(2).strip(), m.group(3).strip()
+        if line.lower() == head.lower():
+            return f"{mark} {head}"
+        return f"{mark} {line}" if line.lower().startswith(head.lower()) else m.group(0)
+
+    return re.sub(r"(?m)^(#{1,6}) ([^\n]+)\n+([^\n#][^\n]*)$", longer, text)
+
+
+def dedup_sections(text: str) -> str:
+    """A later section of the same level, heading and first line as an earlier one is dropped."""
+    parts = re.split(r"(?m)^(?=#{1,6} )", text)
+    seen: set[tuple[str, str]] = set()
+    out = []
+    for part in parts:
+        lines = [x.strip().lower() for x in part.split("\n") if x.strip()]
+        key = (lines[0], lines[1]) if len(lines) > 1 and lines[0].startswith("#") else None
+        if key is None or key not in seen:
+            out.append(part)
+        if key:
+            seen.add(key)
+    return "".join(out)
+
+
+@outside_fences
+def strip_asset_labels(text: str) -> str:
+    """Lines of bars or arrows between single words, names of files and slugs are dropped."""
+    return "\n".join(x for x in text.split("\n") if not re.fullmatch(r"\s*(?:[\w-]+\s*[›»/]\s*){2,}[\w -]+\s*|\s*[a-z0-9]+(?:[-_][a-z0-9]+){3,}\s*|\s*\|\s*", x))
+
+
+@outside_fences
+def strip_class_lines(text: str) -> str:
+    """Lines of which more than half of three or more words are style classes, and lone bullets, are dropped."""
+    out = []
+    for line in text.split("\n"):
+        words = line.split()
+        if len(words) >= 3 and sum(bool(_CLASS_WORD.match(w)) for w in words) > len(words) / 2 or line.strip() in ("-", "*", "•"):
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
+def dedup_lines(text: str) -> str:
+    """Within a block of more than two lines a line of 20 bytes or more comes once; code and tables stay."""
+    out = []
+    for block in text.split("\n\n"):
+        lines = block.split("\n")
+        if len(lines) > 2 and not block.lstrip().startswith(("```", "|")):
+            seen: set[str] = set()
+            lines = [x for x in lines if len(x.encode()) < 20 or not (x.strip().lower() in seen or seen.add(x.strip().lower()))]
+        out.append("\n".join(lines))
+    return "\n\n".join(out)
+
+
 STEPS: tuple[Callable[[str], str], ...] = (
-    decode_entities, strip_invisible, strip_leaked_scripts, collapse_spaced, unwrap_linked_images, collapse_image_runs, strip_images, strip_image_names, strip_emphasis, strip_controls, strip_css,
+    decode_entities, strip_invisible, strip_leaked_scripts, collapse_spaced, unwrap_linked_images, collapse_image_runs, strip_images, strip_image_names, strip_emphasis, strip_alt_noise, strip_controls, strip_long_descriptions, strip_css, collapse_word_lists, dedup_teasers,
+)
+LATER: tuple[Callable[[str], str], ...] = (
+    dedup_phrases, merge_heading_paragraph, dedup_headings, dedup_sections, strip_empty_headings, strip_asset_labels, strip_class_lines, collapse_blank_lines, dedup_blocks, dedup_lines, dedup_list_items, strip_trailing_headings, strip_empty_code, collapse_blank_lines, merge_stat_lines,
 )
-LATER: tuple[Callable[[str], str], ...] = (dedup_phrases, dedup_headings, strip_empty_headings, collapse_blank_lines, dedup_blocks, dedup_list_items, strip_trailing_headings, strip_empty_code, collapse_blank_lines, merge_stat_lines)
 
 
 def take_links(text: str) -> tuple[str, list[tuple[str, str]]]:
