@@ -82,3 +82,14 @@ def test_sql_names(spark):
     assert spark.sql("select readable_text('**a**')").first()[0] == "a"
     assert spark.sql("select * from markdown_chunks('# H\n\nsome words')").first()["section_header"] == "H"
     assert spark.sql("select url from sitemap_urls('<urlset><url><loc>https://a/</loc></url></urlset>')").first()[0] == "https://a/"
+
+
+def test_recovery():
+    from weftline.operators.extract import captions, extract
+
+    foot = "".join(f"<div><h3>G{g}</h3><ul>" + "".join(f'<li><a href="/{g}{i}">L{g}{i}</a></li>' for i in range(3)) + "</ul></div>" for g in range(3))
+    page = f'<body><div role="region" aria-label="Announcement bar">Sale now</div><main><h1>Head</h1><p>{"Some words here. " * 12}</p></main><script type="application/json">{{"title": "A block", "body": "This sentence is only in the embedded data."}}</script><footer>{foot}</footer></body>'
+    md = extract(page, "https://e.com/")["markdown"]
+    assert md.startswith("> **Sale now**") and "only in the embedded data" in md and "## A block" in md
+    assert "### G1" in md and "- [L12](https://e.com/12)" in md
+    assert captions('<t><text start="0">Hello &amp;amp; you</text><text>again</text></t>') == "Hello & you again"
