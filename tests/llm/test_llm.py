@@ -360,3 +360,24 @@ def test_no_other_module_imports_this_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"^\s*(?:from|import)\s+\S*\bllm\b", f.read_text(), re.M), f
+
+
+# -- long and odd texts ---------------------------------------------------------
+
+@pytest.mark.parametrize("text", ["x" * 200_000, "# " + " " * 100_000 + "x", "a\n" + " " * 100_000 + "b <br>", "word " * 40_000, "*" * 50_000, "[" * 50_000, "{" * 50_000, "<" * 50_000, "'" * 50_000, "`" * 50_001, "$" * 50_001, "<!--" * 20_000, "<a href='" * 10_000, "=" * 50_000, "\\" * 50_000, "&" * 50_000, "a " * 60_000])
+def test_no_kernel_blows_up(text, coder):
+    import time
+
+    began = time.time()
+    for plain in (False, True):
+        markup.clean(text, markup.kinds(text, plain), plain)
+    chunking.headings(text)
+    wrapper.page_labels(text, "site.example")
+    wrapper.html_lines(text)
+    found, _ = residue.blocks(text)
+    [residue.has_gap(k, t) for k, t, _ in found]
+    [residue.leaf(residue.masked(t)) for _, t, _ in found]
+    toxicity.sentences(text)
+    shingle_sets([text])
+    coder.count_batch([text])
+    assert time.time() - began < 20

@@ -22,7 +22,7 @@ from .bpe import SpeculativeBPE, encoder, words
 _BLOCK = re.compile(r"(?:\r\n?|\n)[ \t]*(?:(?:\r\n?|\n)[ \t]*)+|(?:\r\n?|\n)(?=#{1,6}[ \t])")
 _LINE = re.compile(r"\r\n?|\n| | ")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[」』）]*")
-_HEADING = re.compile(r"^ {0,3}(#{1,3})[ \t]+([^\r\n]*?)[ \t]*#*[ \t]*$", re.M)
+_HEADING = re.compile(r"^ {0,3}(#{1,3})[ \t]+([^\r\n]*)$", re.M)
 _FENCE = re.compile(r"^ {0,3}(```|~~~).*?(?:^ {0,3}\1[^\S\n]*$|\Z)", re.M | re.S)
 #: Words in the rolling hash, and one word in so many is a landmark.
 WINDOW, LANDMARK_EVERY = 8, 48
@@ -39,7 +39,8 @@ def headings(text: str) -> list[tuple[int, str]]:
     """(offset, title) of the h1 to h3 headings outside fenced code."""
     flat = text.replace("\r\n", " \n").replace("\r", "\n")
     fences = [m.span() for m in _FENCE.finditer(flat)] if "```" in flat or "~~~" in flat else []
-    return [(m.start(), m.group(2)) for m in _HEADING.finditer(flat) if m.group(2) and not any(a <= m.start() < b for a, b in fences)]
+    found = ((m.start(), m.group(2).strip().rstrip("#").rstrip()) for m in _HEADING.finditer(flat))
+    return [(at, title) for at, title in found if title and not any(a <= at < b for a, b in fences)]
 
 
 def _boundaries(text: str, starts: np.ndarray) -> np.ndarray:
