@@ -62,7 +62,7 @@ def strip_invisible(text: Column) -> Column:
 
 def collapse_blank(text: Column, most: int = 1) -> Column:
     """At most *most* blank lines in a row, no white space at line ends, none around the text."""
-    t = F.regexp_replace(text, r"[ \t]+(?=\n|$)", "")
+    t = F.regexp_replace(text, r"(?<![ \t])[ \t]+(?=\n|$)", "")
     return F.regexp_replace(F.regexp_replace(t, r"\n{" + str(most + 2) + r",}", "\n" * (most + 1)), r"^\s+|\s+$", "")
 
 

@@ -130,7 +130,7 @@ def strip_empty_code(text: str) -> str:
 
 
 def collapse_blank_lines(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)[ \t]+$", "", text)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)(?<![ \t])[ \t]+$", "", text)).strip()
 
 
 def merge_stat_lines(text: str) -> str:
