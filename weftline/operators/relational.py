@@ -42,6 +42,33 @@ def snapshot_status(old: DataFrame, new: DataFrame, key: str, compared: list[str
     return j.select(key, status.alias("status"), delta.cast("long").alias("word_count_delta"), F.array_join(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), changed).otherwise(F.array().cast("array<string>")), ",").alias("changed"))
 
 
+def versions_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """*df* with version (from 1) and versions (how many its key has). Rows without a key are no versions of each other and go."""
+    w = Window.partitionBy(key)
+    return df.where(F.col(key).isNotNull()).withColumn("version", F.row_number().over(w.orderBy(*order))).withColumn("versions", F.count("*").over(w))
+
+
+def link_history(df: DataFrame, key: str, order: list[str], links: str = "links") -> DataFrame:
+    """Rows (key, version, change, href): :func:`link_changes` of every version since the one before it."""
+    v = versions_of(df.select(key, *order, links), key, order)
+    page = lambda n: F.struct(key, n.alias("version")).alias("_page")
+    old = v.where(F.col("version") < F.col("versions")).select(page(F.col("version") + 1), links)
+    new = v.where(F.col("version") > 1).select(page(F.col("version")), links)
+    return link_changes(old, new, "_page", links).select(f"_page.{key}", "_page.version", "change", "href")
+
+
+def snapshot_history(df: DataFrame, key: str, order: list[str], compared: list[str], words: str = "word_count") -> DataFrame:
+    """Rows (key, version, status, word_count_delta, changed): every version against the one before it; the first is New. Nulls equal nulls; texts are compared by digest."""
+    marks = df.where(F.col(key).isNotNull()).select(key, *order, F.coalesce(words, F.lit(0)).alias("_words"), *[F.sha2(F.col(c).cast("string"), 256).alias(f"_d_{c}") for c in compared])
+    w = Window.partitionBy(key).orderBy(*order)
+    v = marks.withColumn("version", F.row_number().over(w)).withColumn("_before", F.lag(F.struct("_words", *[f"_d_{c}" for c in compared])).over(w))
+    first = F.col("version") == 1
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"_d_{c}").eqNullSafe(F.col(f"_before._d_{c}")), F.lit(c)) for c in sorted(compared)]))
+    delta = F.col("_words") - F.coalesce(F.col("_before._words"), F.lit(0))
+    status = F.when(first, "New").when((F.size(changed) > 0) | (delta != 0), "Changed").otherwise("Same")
+    return v.select(key, "version", status.alias("status"), delta.cast("long").alias("word_count_delta"), F.when(first, "").otherwise(F.array_join(changed, ",")).alias("changed"))
+
+
 def grep(df: DataFrame, key: str, text: str, pattern: str, width: int | None = 120) -> DataFrame:
     """Rows (key, line_no from 1, line) that match; without capitals in the pattern, case doesn't matter. Lines are shown up to *width* characters."""
     smart = pattern if any(c.isupper() for c in pattern) else f"(?i){pattern}"

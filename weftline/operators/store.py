@@ -7,9 +7,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .relational import cap_history
+
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -57,6 +59,28 @@ def merge(current: DataFrame | None, batch: DataFrame, key: str = "url", at: str
     )
 
 
+def build(versions: DataFrame, order: list[str], key: str = "url", at: str = "fetched_at", ignore: tuple[str, ...] = ("fetched_at",)) -> DataFrame:
+    """The snapshot that merging all *versions* of each key one after another gives, in the total order *order*.
+
+    Columns of *order* beside *at* aren't fields of the store. Only digests are ranked; a hot key's versions are sorted, never gathered.
+    """
+    fields = [c for c in versions.columns if c != key and (c == at or c not in order)]
+    compared = [c for c in fields if c not in ignore]
+    w = Window.partitionBy(key).orderBy(*order)
+    digests = versions.select(key, *order, F.sha2(F.to_json(F.struct(*compared)), 256).alias("digest"))
+    before = digests.withColumn("_before", F.lag("digest").over(w))
+    entries = before.where(F.col("_before").isNull() | (F.col("_before") != F.col("digest"))).withColumn("status", F.when(F.col("_before").isNull(), "New").otherwise("Changed"))
+    capped = cap_history(entries, key, order, 100)
+    logs = capped.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "digest", "status"))), lambda e: F.struct(e[at].alias("at"), e["digest"].alias("digest"), e["status"].alias("status"))).alias("changelog"))  # at most 100 entries
+    last = versions.groupBy(key).agg(
+        F.max_by(F.struct(*fields), F.struct(*order)).alias("_last"),
+        F.min(at).alias("first_seen"),
+        F.max(at).alias("last_fetched"),
+        F.count("*").alias("fetch_count"),
+    )
+    return last.join(logs, key).select(key, *[F.col(f"_last.{c}").alias(c) for c in fields], "first_seen", "last_fetched", "fetch_count", "changelog")
+
+
 class Store:
     """Snapshots under a folder and a pointer file that names the current one; a snapshot is never overwritten while it is read."""
 

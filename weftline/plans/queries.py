@@ -81,6 +81,11 @@ def links_added_removed(spark, d):
     return rel.link_changes(v.where("v = 1"), v.where("v = 2"), "url")
 
 
+@query()
+def links_added_removed_all(spark, d):
+    return rel.link_history(read(spark, d, "contents"), "url", ["fetched_at", "content_id"])
+
+
 @query("SELECT content_id, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos, unnest(links).text AS text, unnest(links).href AS href FROM contents")
 def page_links(spark, d):
     return rel.links_of(read(spark, d, "contents"), "content_id")
@@ -101,6 +106,11 @@ def snapshot_diff(spark, d):
     return rel.snapshot_status(v.where("v = 1"), v.where("v = 2"), "url", ["title", "author", "language", "markdown"])
 
 
+@query()
+def snapshot_diff_all(spark, d):
+    return rel.snapshot_history(read(spark, d, "contents"), "url", ["fetched_at", "content_id"], ["title", "author", "language", "markdown"])
+
+
 @query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_docs(spark, d):
     return rel.exact_duplicates(read(spark, d, "documents"), "doc_id", "text")
@@ -280,6 +290,12 @@ def store_merge(spark, d):
     return store.merge(store.merge(None, v.where("v = 1").drop("v")), v.where("v = 2").drop("v")).select("url", "fetch_count")
 
 
+@query()
+def store_merge_all(spark, d):
+    pages = read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "title", "markdown", "fetched_at", "content_id")
+    return store.build(pages, ["fetched_at", "content_id"]).select("url", "fetch_count", "first_seen", "last_fetched", F.size("changelog").alias("entries"))
+
+
 @query()
 def readable_text(spark, d):
     return readable.to_readable(read(spark, d, "contents"), "content_id", "markdown")
