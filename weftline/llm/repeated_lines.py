@@ -3,19 +3,22 @@
 The sequences are the line identifiers of each text, the databases are the
 sources.  The first level counts single lines; each further level extends the
 frequent sequences by a frequent line that follows directly, within the texts
-that hold the prefix (the projected database).  Support is the number of
-distinct documents, and every line of a frequent sequence is itself frequent.
+that hold the prefix (the projected database), until none is frequent.  Support
+is the number of distinct documents, and every line of a frequent sequence is
+itself frequent: which lines are repeated is told by the first level alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Production parameters: distinct documents, letters of a line, and lines of the longest sequence that is mined.
-SUPPORT, LETTERS, LONGEST = 5, 15, 3
+#: Production parameters: distinct documents, and letters of a line.
+SUPPORT, LETTERS = 5, 15
 
 
 def line_key(line: Column) -> Column:
@@ -50,29 +53,40 @@ def repeated(df: DataFrame, key: str = "row_id", text: str = "text", domain: str
     return found.select(F.col("_key").alias(key), F.col("line_no").cast("int").alias("line_no"), "support")
 
 
-def sequences(df: DataFrame, key: str = "row_id", text: str = "text", domain: str = "domain", doc: str = "url", support: int = SUPPORT, letters: int = LETTERS, longest: int = LONGEST) -> DataFrame:
-    """Rows (domain, length, lines array<string>, support): the frequent sequences of up to *longest* lines, each following the other directly.
+def sequences(df: DataFrame, key: str = "row_id", text: str = "text", domain: str = "domain", doc: str = "url", support: int = SUPPORT, letters: int = LETTERS, longest: int | None = None) -> DataFrame:
+    """Rows (domain, length, lines array<string>, support): the frequent sequences of lines that follow each other directly, of any length unless *longest* is given.
 
-    The lines are given as their keys (letters in lower case).  Levels stop at
-    *longest*; longer blocks come out as their parts, which cover the same lines.
+    The lines are given as their keys (letters in lower case); lines that are not
+    frequent are passed over.  A level holds the occurrences (text and place) of
+    the frequent sequences of its length and is grown from those of the level
+    before, until none is frequent.
     """
     split = df.where(F.col(domain).isNotNull() & (F.col(domain) != "") & F.col(doc).isNotNull()).select(F.col(key).alias("_key"), F.lower(domain).alias("_domain"), F.col(doc).alias("_doc"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "_line"))
     keyed = split.withColumn("_id", line_key(F.col("_line"))).where(F.length("_id") >= letters)
     base = keyed.select("_key", "line_no", "_domain", "_id", F.xxhash64("_domain", "_id").alias("_a"), F.hash("_id", "_domain").alias("_b"), F.xxhash64("_doc").alias("_d"))
-    first = base.select("_domain", "_id", "_a", "_b", "_d").distinct().groupBy("_a", "_b").agg(F.min("_domain").alias("domain"), F.min("_id").alias("_id"), F.count("*").alias("support")).where(F.col("support") >= support)
+    first = stored(base.select("_domain", "_id", "_a", "_b", "_d").distinct().groupBy("_a", "_b").agg(F.min("_domain").alias("domain"), F.min("_id").alias("_id"), F.count("*").alias("support")).where(F.col("support") >= support), "first")
     # Only frequent lines can be in a longer sequence; their order in a text is all that is kept. A hot source is spread by text.
-    ids = stored(base.join(first.select("_a", "_b"), ["_a", "_b"], "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("line_no"))).select("_key", "_at", "_domain", "_a", "_id", "_d"), "lines")
-    levels = [first.select("domain", F.lit(1).alias("length"), F.array("_id").alias("lines"), "support")]
     window = Window.partitionBy("_key").orderBy("_at")
-    for length in range(2, longest + 1):
-        parts = [F.lead("_id", k).over(window) for k in range(length)]
-        grown = ids.select("_domain", "_d", F.array(*parts).alias("lines"), F.lead("_at", length - 1).over(window).alias("_end")).where(F.col("_end").isNotNull())
-        pairs = grown.select("_domain", "lines", "_d").distinct()
-        levels.append(pairs.groupBy("_domain", "lines").agg(F.count("*").alias("support")).where(F.col("support") >= support).select(F.col("_domain").alias("domain"), F.lit(length).alias("length"), "lines", "support"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("line_no"))
+    ids = base.join(first.select("_a", "_b"), ["_a", "_b"], "left_semi").withColumn("_at", at)
+    known = stored(ids.select("_key", "_at", "_d", "_a", "_b", F.col("_a").alias("_x"), F.col("_b").alias("_y")), "lines")
+    # Of a sequence, _x and _y are two independent hashes: texts aren't shuffled. A sequence is frequent only if what is left of it without its first or last line is.
+    levels, length = [first.select(F.col("_a").alias("_x"), F.col("_b").alias("_y"), "domain", F.lit(1).alias("length"), F.array("_id").alias("lines"), "support")], 1
+    while longest is None or length < longest:
+        ahead = known.select("_key", "_at", "_d", "_a", "_b", "_x", "_y", F.lead("_at").over(window).alias("_next"), F.lead("_x").over(window).alias("_p"), F.lead("_y").over(window).alias("_q"))
+        grown = ahead.where(F.col("_next") == F.col("_at") + 1).select("_key", "_at", "_d", "_a", "_b", "_p", "_q", F.xxhash64("_a", "_b", "_p", "_q").alias("_x"), F.hash("_q", "_p", "_b", "_a").alias("_y"))
+        count = grown.select("_x", "_y", "_a", "_b", "_p", "_q", "_d").distinct().groupBy("_x", "_y").agg(F.min_by(F.struct("_a", "_b", "_p", "_q"), F.struct("_a", "_b", "_p", "_q")).alias("_s"), F.count("*").alias("support")).where(F.col("support") >= support)
+        count = stored(count.select("_x", "_y", "_s.*", "support"), "counts")
+        if count.isEmpty():
+            break
+        length += 1
+        # The lines of a sequence are its first line and those of the rest, a sequence of the level before.
+        heads = levels[0].select(F.col("_x").alias("_a"), F.col("_y").alias("_b"), "domain", F.col("lines").alias("_head"))
+        rest = levels[-1].select(F.col("_x").alias("_p"), F.col("_y").alias("_q"), "lines")
+        level = count.join(heads, ["_a", "_b"]).join(rest, ["_p", "_q"])
+        levels.append(stored(level.select("_x", "_y", "domain", F.lit(length).alias("length"), F.concat("_head", "lines").alias("lines"), "support"), "level"))
+        known = stored(grown.join(count.select("_x", "_y"), ["_x", "_y"], "left_semi").select("_key", "_at", "_d", "_a", "_b", "_x", "_y"), "lines")
+    return reduce(DataFrame.unionByName, levels).select("domain", "length", "lines", "support")
 
 
 def without_repeated(df: DataFrame, key: str = "row_id", text: str = "text", domain: str = "domain", doc: str = "url", support: int = SUPPORT, letters: int = LETTERS) -> DataFrame:
