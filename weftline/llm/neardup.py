@@ -6,16 +6,18 @@ symmetric difference of the sets.  For similarity t, that difference is at most
 (1 - t) / (1 + t) of the two sizes together: sketches further apart are dropped
 without looking at the texts.
 
-Candidates come from a pigeonhole join: within a band of sizes the elements are
-dealt into parts by their hash, and the part's elements are XORed into a word.
-Two similar texts have far more parts than differing elements touch, so words
-agree: with sizes n the parts are n / 4, each is untouched with a probability of
-at least exp(-2), independently, and one is enough.  Words are made of rare elements, those
-not common to different texts of a sample; where a text has few, of all its elements.
+Candidates come from a join by prefixes.  All elements have one order: first those
+that no two different texts of a sample hold, then by the number of texts of the
+sample, last by their hash.  Similar sets of sizes n share at least t * n elements, so
+their first k shared elements are among the first n - ceil(t * n) + k of either: the
+words of a text are these elements for k = 1, and each similar pair shares one.  This
+holds for any order and size; the sample only makes words rare.
 Pairs whose fingerprints (a bit for the smallest element of each of 128 parts of
 the hash range) disagree more than similar sets do are passed over; at similarity
-t that costs a pair with a probability below 2e-5.  Words that many texts share are joined together with a second word, so that no
-bucket is expanded into all its pairs; no bucket is dropped.
+t that costs a pair with a probability below 2e-5.  Words that many texts share are
+joined together with a later second word, out of the elements for k = 2, which each
+similar pair shares too, so that no bucket is expanded into all its pairs; no bucket
+and no similar pair is dropped.
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ from .shingles import mix, shingle_sets
 
 #: Texts in the sample that shows which elements are common; only the speed depends on it.
 SAMPLE_TEXTS, SAMPLE_ELEMENTS = 4_000, 20_000
-#: Elements a part holds on average, and the share of rare elements below which a text uses all of them.
-PART, FEW_RARE = 4, 0.1
 #: A bucket of more texts than this is split by a second word.
 HOT = 200
 BATCH = 400
@@ -45,23 +45,6 @@ def band(n: np.ndarray | int, t: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / -math.log(t)).astype(int)
 
 
-def parts_of(b: int, t: float) -> int:
-    return max(2, int((1 / t) ** (b + 0.5) / PART))
-
-
-def part_words(elements: np.ndarray, b: int, t: float) -> np.ndarray:
-    """One word for each part of the band that holds any of the elements."""
-    if not len(elements):
-        return np.zeros(0, dtype=np.uint64)
-    spread = mix(elements)
-    part = (spread >> np.uint64(20)) % np.uint64(parts_of(b, t))
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    xor = np.bitwise_xor.reduceat(mix(spread[order]), first)
-    return mix(xor ^ mix(part[first] + np.uint64((b + 1) << 40)))
-
-
 def sketch(elements: np.ndarray, b: int, t: float) -> bytes:
     """Parity sketch, of two bits for each element that the largest text of the next band has."""
     bits = 64 * max(1, math.ceil(2 * (1 / t) ** (b + 1) / 64))
@@ -86,23 +69,19 @@ def least_agreement(t: float) -> int:
     return math.floor(128 * p - 4.2 * math.sqrt(128 * p * (1 - p)))
 
 
-def words_of(elements: np.ndarray, common: np.ndarray, t: float) -> np.ndarray:
-    """The words of a text: of its band and the next, as the smaller partner of a text there."""
+def words_of(elements: np.ndarray, common: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, int]:
+    """The first elements of a text in the common order, and how many of them are its words; the rest is for second words."""
     n = len(elements)
-    rare = elements
+    held = np.zeros(n, dtype=np.int64)
     if len(common) and n:
-        rare = elements[common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] != elements]
-    b = int(band(n, t))
-    out = []
-    for k in (b, b + 1):
-        out.append(part_words(rare, k, t))
-        if len(rare) < FEW_RARE * n:
-            out.append(part_words(elements, k, t) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return np.unique(np.concatenate(out))
-
-
-def common_elements(sample: list[np.ndarray]) -> np.ndarray:
-    """Elements that at least two different texts of the sample hold; texts like an earlier one don't count again."""
+        at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+        held = np.where(common[at] == elements, counts[at], 0)
+    lead = n - math.ceil(t * n - 1e-9) + 1
+    return elements[np.lexsort((mix(elements), held))[: lead + 1]], min(lead, n)
+
+
+def common_elements(sample: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that at least two different texts of the sample hold, sorted, and the number of these; texts like an earlier one don't count again."""
     holders: dict[int, list[int]] = {}
     different = []
     for i, s in enumerate(sample):
@@ -116,9 +95,9 @@ def common_elements(sample: list[np.ndarray]) -> np.ndarray:
             for x in low:
                 holders.setdefault(x, []).append(i)
     if not different:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     values, counts = np.unique(np.concatenate(different), return_counts=True)
-    return values[counts >= 2]
+    return values[counts >= 2], counts[counts >= 2]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -139,13 +118,13 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def classes(df: DataFrame, key: str, text: str, t: float) -> DataFrame:
-    """Rows (_id, n, same, f, g, bits, words): size, hash of the set, fingerprint, sketch and words of every text with at least one sequence."""
+    """Rows (_id, n, same, f, g, bits, words, lead): size, hash of the set, fingerprint, sketch, first elements and how many are words, of every text with at least one sequence."""
     some = df.where(F.length(text) > 0)
     total = some.count()
     share = min(1.0, SAMPLE_TEXTS / max(1, total))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = _sets(some.where(draw), key, text).where(F.size("elements") <= SAMPLE_ELEMENTS).orderBy("_id").limit(2 * SAMPLE_TEXTS).collect()
-    common = common_elements([np.array(r["elements"], dtype=np.int64).view(np.uint64) for r in sample])
+    common, counts = common_elements([np.array(r["elements"], dtype=np.int64).view(np.uint64) for r in sample])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -156,11 +135,12 @@ def classes(df: DataFrame, key: str, text: str, t: float) -> DataFrame:
                     if len(s):
                         b = int(band(len(s), t))
                         whole = mix(np.array([np.bitwise_xor.reduce(mix(s)), np.add.reduce(s)], dtype=np.uint64))
-                        rows.append((k, len(s), int(_signed(mix(whole[:1] * np.uint64(3) + whole[1:]))[0]), *fingerprint(s), sketch(s, b, t) + sketch(s, b + 1, t), _signed(words_of(s, common, t))))
-                yield pd.DataFrame(rows, columns=["_id", "n", "same", "f", "g", "bits", "words"])
+                        words, lead = words_of(s, common, counts, t)
+                        rows.append((k, len(s), int(_signed(mix(whole[:1] * np.uint64(3) + whole[1:]))[0]), *fingerprint(s), sketch(s, b, t) + sketch(s, b + 1, t), _signed(words), lead))
+                yield pd.DataFrame(rows, columns=["_id", "n", "same", "f", "g", "bits", "words", "lead"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = some.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"_id {kind}, n int, same long, f long, g long, bits binary, words array<long>")
+    out = some.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"_id {kind}, n int, same long, f long, g long, bits binary, words array<long>, lead int")
     return stored(out, "sketches")
 
 
@@ -178,15 +158,18 @@ def similar_pairs(df: DataFrame, key: str = "content_id", text: str = "markdown"
     members = rows.join(rows.groupBy("same", "n").agg(F.min("_id").alias("class")), ["same", "n"]).select("_id", "class", "n")
     members = stored(members, "members")
     heads = rows.join(members.where(F.col("_id") == F.col("class")).select("_id"), "_id", "left_semi")
-    words = heads.select("_id", F.explode("words").alias("word"))
+    words = heads.select("_id", F.posexplode(F.slice("words", 1, F.col("lead"))).alias("at", "word"))
     counted = words.withColumn("c", F.count("*").over(Window.partitionBy("word"))).where(F.col("c") > 1)
     # Most words are those of one text; only what is left is joined with the fingerprints.
     counted = stored(counted.join(heads.select("_id", "n", "f", "g"), "_id"), "words")
-    pairs = _pairs(counted.where(F.col("c") <= HOT), t)
-    hot = counted.where(F.col("c") > HOT)
+    # Only above 0.5 do all similar texts of different sets share a second element.
+    large = F.col("c") > HOT if t > 0.5 else F.lit(False)
+    pairs = _pairs(counted.where(~large), t)
+    hot = counted.where(large)
     if not hot.isEmpty():
-        second = heads.select("_id", F.explode("words").alias("other"))
-        double = hot.join(second, "_id").where(F.col("other") != F.col("word")).select("_id", "n", "f", "g", F.xxhash64(F.least("word", "other"), F.greatest("word", "other")).alias("word")).distinct()
+        # The first two elements that a pair shares come in the same order in both: only later ones are second words.
+        second = heads.join(hot.select("_id").distinct(), "_id", "left_semi").select("_id", F.posexplode("words").alias("then", "other"))
+        double = hot.join(second, "_id").where(F.col("then") > F.col("at")).select("_id", "n", "f", "g", F.xxhash64("word", "other").alias("word"))
         double = stored(double.withColumn("c", F.count("*").over(Window.partitionBy("word"))).where(F.col("c") > 1), "double")
         pairs = pairs.unionByName(_pairs(double, t)).distinct()
     bits = rows.select("_id", "n", "bits")
