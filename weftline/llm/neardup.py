@@ -6,18 +6,18 @@ symmetric difference of the sets.  For similarity t, that difference is at most
 (1 - t) / (1 + t) of the two sizes together: sketches further apart are dropped
 without looking at the texts.
 
-Candidates come from a join by prefixes.  All elements have one order: first those
-that no two different texts of a sample hold, then by the number of texts of the
-sample, last by their hash.  Similar sets of sizes n share at least t * n elements, so
-their first k shared elements are among the first n - ceil(t * n) + k of either: the
-words of a text are these elements for k = 1, and each similar pair shares one.  This
-holds for any order and size; the sample only makes words rare.
-Pairs whose fingerprints (a bit for the smallest element of each of 128 parts of
-the hash range) disagree more than similar sets do are passed over; at similarity
-t that costs a pair with a probability below 2e-5.  Words that many texts share are
-joined together with a later second word, out of the elements for k = 2, which each
-similar pair shares too, so that no bucket is expanded into all its pairs; no bucket
-and no similar pair is dropped.
+Candidates come from a join by prefixes.  (Blocks of a sketch that must agree by the
+pigeonhole principle would be of four bits at similarity 0.6, which any two texts share.)
+All elements have one order: by the number of texts of a sample that hold them, then by
+their hash.  Similar sets of sizes n share at least t * n elements, so their first shared
+element is among the first n - ceil(t * n) + 1 of either: these are the words of a text,
+and each similar pair shares one.  This holds for any order and size; the sample only
+makes words rare.  A pair is taken at a shared word only if so many elements follow it
+in both texts as the similarity demands, and if its fingerprints (a bit for the smallest
+element of each of 128 parts of the hash range) agree as those of similar sets do: up to
+98 elements no similar pair fails that, above it one at the threshold does with a
+probability of 1e-7.  A word that many texts share is worked through in blocks of
+these texts, each pair of blocks a piece of work of its own; none is dropped.
 """
 
 from __future__ import annotations
@@ -27,17 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .shingles import mix, shingle_sets
 
-#: Texts in the sample that shows which elements are common; only the speed depends on it.
-SAMPLE_TEXTS, SAMPLE_ELEMENTS = 4_000, 20_000
-#: A bucket of more texts than this is split by a second word.
-HOT = 200
+#: Texts in the sample that shows which elements are common, and how many of these are told apart; only the speed depends on them.
+SAMPLE_TEXTS, COMMON_ELEMENTS = 12_000, 500_000
+#: Texts of a word that are worked through at once; more are split into blocks of so many.
+HOT = 20_000
 BATCH = 400
+#: Pairs that are compared at once.
+PAIRS = 1_000_000
 
 
 def band(n: np.ndarray | int, t: float) -> np.ndarray:
@@ -64,9 +67,9 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
 
 
 def least_agreement(t: float) -> int:
-    """Bits of 128 that texts of similarity *t* agree in, less four standard deviations."""
+    """Bits of 128 that texts of similarity *t* agree in, less 5.2 standard deviations."""
     p = (1 + t) / 2
-    return math.floor(128 * p - 4.2 * math.sqrt(128 * p * (1 - p)))
+    return math.floor(128 * p - 5.2 * math.sqrt(128 * p * (1 - p)))
 
 
 def words_of(elements: np.ndarray, common: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, int]:
@@ -80,26 +83,6 @@ def words_of(elements: np.ndarray, common: np.ndarray, counts: np.ndarray, t: fl
     return elements[np.lexsort((mix(elements), held))[: lead + 1]], min(lead, n)
 
 
-def common_elements(sample: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that at least two different texts of the sample hold, sorted, and the number of these; texts like an earlier one don't count again."""
-    holders: dict[int, list[int]] = {}
-    different = []
-    for i, s in enumerate(sample):
-        low = s[:64].tolist() if len(s) else []  # the smallest hashes: like sets have most of them in common
-        shared: dict[int, int] = {}
-        for x in low:
-            for k in holders.get(x, ()):
-                shared[k] = shared.get(k, 0) + 1
-        if low and max(shared.values(), default=0) < 0.4 * len(low):
-            different.append(s)
-            for x in low:
-                holders.setdefault(x, []).append(i)
-    if not different:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    values, counts = np.unique(np.concatenate(different), return_counts=True)
-    return values[counts >= 2], counts[counts >= 2]
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -117,14 +100,22 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"_id {kind}, elements array<long>")
 
 
+def common_elements(some: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The elements that most texts of a sample hold, sorted, with the number of these texts; at most COMMON_ELEMENTS."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, some.count()))
+    draw = F.xxhash64(F.col(key), F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1))
+    sample = _sets(some.where(draw < F.lit(int(share * (1 << 62)))), key, text)
+    held = sample.select(F.explode("elements").alias("x")).groupBy("x").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    seen = held.orderBy(F.desc("c"), "x").limit(COMMON_ELEMENTS).toPandas()
+    values = seen["x"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], seen["c"].to_numpy(dtype=np.int64)[order]
+
+
 def classes(df: DataFrame, key: str, text: str, t: float) -> DataFrame:
     """Rows (_id, n, same, f, g, bits, words, lead): size, hash of the set, fingerprint, sketch, first elements and how many are words, of every text with at least one sequence."""
     some = df.where(F.length(text) > 0)
-    total = some.count()
-    share = min(1.0, SAMPLE_TEXTS / max(1, total))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = _sets(some.where(draw), key, text).where(F.size("elements") <= SAMPLE_ELEMENTS).orderBy("_id").limit(2 * SAMPLE_TEXTS).collect()
-    common, counts = common_elements([np.array(r["elements"], dtype=np.int64).view(np.uint64) for r in sample])
+    common, counts = common_elements(some, key, text)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -144,12 +135,107 @@ def classes(df: DataFrame, key: str, text: str, t: float) -> DataFrame:
     return stored(out, "sketches")
 
 
-def _pairs(rows: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b) that share a word and whose sizes allow the similarity."""
-    side = lambda k: rows.select("word", F.col("_id").alias(k), *[F.col(c).alias(c + k) for c in ("n", "f", "g")])
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb"))
-    alike = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) + F.bit_count(F.col("ga").bitwiseXOR(F.col("gb"))) <= 128 - least_agreement(t)
-    return side("a").join(side("b"), "word").where(near & alike).select("a", "b").distinct()
+def _candidates(cell: np.ndarray, n: np.ndarray, at: np.ndarray, f: np.ndarray, g: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that share a cell, whose sizes and places in the order allow the similarity, and whose fingerprints agree. Sorted by cell and size."""
+    run = np.concatenate(([0], np.cumsum(cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+    share = t / (1 + t)
+    # With the smaller text's word at its place, the larger one has at most so many elements.
+    most = np.minimum(n / t, (n - at) / share - n) + 1e-6
+    end = np.searchsorted(run * (1 << 33) + n, run * (1 << 33) + np.maximum(most, 0).astype(np.int64), side="right")
+    count = np.maximum(end - np.arange(len(n)) - 1, 0)
+    upto = np.cumsum(count)
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, side="right")))
+        c = count[start:stop]
+        i = np.repeat(np.arange(start, stop), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        keep = n[j] - at[j] >= share * (n[i] + n[j]) - 1e-6
+        i, j = i[keep], j[keep]
+        apart = np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(int) + np.bitwise_count((g[i] ^ g[j]).view(np.uint64))
+        keep = apart <= 128 - least_agreement(t)
+        yield i[keep], j[keep]
+        start = stop
+
+
+def _paired(words: DataFrame, kind: str, t: float, split: bool) -> DataFrame:
+    """Rows (a, b, hot, cell, n, at, f, g) of *words* (cell, _id, n, at, f, g, part, parts), which are grouped by cell and sorted by size within it.
+
+    A row is a pair, or with hot set a text (a) of a word that is in too many
+    texts to be worked through at once.  With *split* no such rows come out, and
+    pairs within one part of a cell of two parts are left to that part's own cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: int | None = None
+
+        def out(a: pa.Array, b: pa.Array, rows: dict[str, np.ndarray] | None) -> pa.RecordBatch:
+            values = [pa.array(rows[c] if rows else np.zeros(len(a), dtype=np.int64)) for c in ("cell", "n", "at", "f", "g")]
+            return pa.RecordBatch.from_arrays([a, b, pa.array(np.full(len(a), rows is not None)), *values], names=["a", "b", "hot", "cell", "n", "at", "f", "g"])
+
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids = table.column("_id").combine_chunks()
+            v = {c: table.column(c).to_numpy().astype(np.int64) for c in ("cell", "n", "at", "f", "g", "part")}
+            first = np.flatnonzero(np.concatenate(([True], v["cell"][1:] != v["cell"][:-1])))
+            length = np.repeat(np.diff(np.append(first, len(ids))), np.diff(np.append(first, len(ids))))
+            if not split and (length > HOT).any():
+                many = np.flatnonzero(length > HOT)
+                some = ids.take(pa.array(many))
+                yield out(some, some, {c: x[many] for c, x in v.items()})
+            keep = np.flatnonzero((length > 1) & (split | (length <= HOT)))
+            w = {c: x[keep] for c, x in v.items()}
+            for i, j in _candidates(w["cell"], w["n"], w["at"], w["f"], w["g"], t):
+                if split:
+                    other = (w["part"][i] != w["part"][j]) | (w["part"][i] < 0)
+                    i, j = i[other], j[other]
+                if len(i):
+                    yield out(ids.take(pa.array(keep[i])), ids.take(pa.array(keep[j])), None)
+
+        left: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if hot is not None:  # the rest of a word that is already known to be hot
+                cells = table.column("cell").to_numpy()
+                end = int(np.searchsorted(cells != hot, True)) if (cells == hot).any() else 0
+                if end:
+                    v = {c: table.column(c).slice(0, end).to_numpy().astype(np.int64) for c in ("cell", "n", "at", "f", "g")}
+                    ids = table.column("_id").slice(0, end).combine_chunks()
+                    yield out(ids, ids, v)
+                table = table.slice(end)
+                if not table.num_rows:
+                    continue
+                hot = None
+            if left is not None:
+                table = pa.concat_tables([left, table])
+            cells = table.column("cell").to_numpy()
+            last = len(cells) - int(np.argmax(cells[::-1] != cells[-1])) if (cells != cells[-1]).any() else 0
+            if last:
+                yield from work(table.slice(0, last))
+            left = table.slice(last)
+            if not split and left.num_rows > HOT:
+                hot = int(cells[-1])
+                yield from work(left)
+                left = None
+        if left is not None:
+            yield from work(left)
+
+    return words.mapInArrow(run, f"a {kind}, b {kind}, hot boolean, cell long, n long, at long, f long, g long")
+
+
+def candidate_pairs(heads: DataFrame, kind: str, t: float) -> DataFrame:
+    """Distinct (a, b) of the texts that share a word and may be similar, in no order."""
+    words = heads.select("_id", "n", "f", "g", F.posexplode(F.slice("words", 1, F.col("lead"))).alias("at", "cell")).select("cell", "_id", "n", "at", "f", "g", F.lit(-1).alias("part"))
+    found = stored(_paired(words.repartition("cell").sortWithinPartitions("cell", "n"), kind, t, False), "words")
+    pairs = found.where(~F.col("hot")).select("a", "b")
+    hot = found.where("hot").select("cell", F.col("a").alias("_id"), "n", "at", "f", "g")
+    if not hot.isEmpty():
+        parts = hot.groupBy("cell").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+        own = hot.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("_id", "cell"), F.col("parts")).cast("int"))
+        each = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        low, high = F.least("part", "with"), F.greatest("part", "with")
+        cells = each.select(F.xxhash64("cell", low, high).alias("cell"), "_id", "n", "at", "f", "g", F.when(low == high, F.lit(-1)).otherwise(F.col("part")).alias("part"))
+        pairs = pairs.unionByName(_paired(cells.repartition("cell").sortWithinPartitions("cell", "n"), kind, t, True).select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_pairs(df: DataFrame, key: str = "content_id", text: str = "markdown", t: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -158,20 +244,7 @@ def similar_pairs(df: DataFrame, key: str = "content_id", text: str = "markdown"
     members = rows.join(rows.groupBy("same", "n").agg(F.min("_id").alias("class")), ["same", "n"]).select("_id", "class", "n")
     members = stored(members, "members")
     heads = rows.join(members.where(F.col("_id") == F.col("class")).select("_id"), "_id", "left_semi")
-    words = heads.select("_id", F.posexplode(F.slice("words", 1, F.col("lead"))).alias("at", "word"))
-    counted = words.withColumn("c", F.count("*").over(Window.partitionBy("word"))).where(F.col("c") > 1)
-    # Most words are those of one text; only what is left is joined with the fingerprints.
-    counted = stored(counted.join(heads.select("_id", "n", "f", "g"), "_id"), "words")
-    # Only above 0.5 do all similar texts of different sets share a second element.
-    large = F.col("c") > HOT if t > 0.5 else F.lit(False)
-    pairs = _pairs(counted.where(~large), t)
-    hot = counted.where(large)
-    if not hot.isEmpty():
-        # The first two elements that a pair shares come in the same order in both: only later ones are second words.
-        second = heads.join(hot.select("_id").distinct(), "_id", "left_semi").select("_id", F.posexplode("words").alias("then", "other"))
-        double = hot.join(second, "_id").where(F.col("then") > F.col("at")).select("_id", "n", "f", "g", F.xxhash64("word", "other").alias("word"))
-        double = stored(double.withColumn("c", F.count("*").over(Window.partitionBy("word"))).where(F.col("c") > 1), "double")
-        pairs = pairs.unionByName(_pairs(double, t)).distinct()
+    pairs = candidate_pairs(heads, df.schema[key].dataType.simpleString(), t)
     bits = rows.select("_id", "n", "bits")
     both = pairs.join(bits.select(F.col("_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
 
