@@ -110,10 +110,9 @@ def clean_latex(text: str) -> str:
     text = re.sub(r"\\(?:begin|end)\{[^{}]*\}", "", text)
     text = re.sub(r"^([ \t]*)\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: f"{m.group(1)}- " + (f"{m.group(2)} " if m.group(2) else ""), text, flags=re.M)
     text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
-    for _ in range(8):
+    n = 1
+    while n:  # from the inside out, however deep
         text, n = re.subn(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        if not n:
-            break
     text = re.sub(r"\\\\(?:\[\d[\d.]*[a-z]{2}\])?[ \t]*(?=\n|$)", "", text)
     text = re.sub(r"\\(?:maketitle|tableofcontents|noindent|newpage|bigskip|medskip|smallskip|hline|centering)\b[ \t]*", "", text)
     return re.sub(r"\\([%&_#{}$])", r"\1", text)
@@ -121,10 +120,9 @@ def clean_latex(text: str) -> str:
 
 def clean_wiki(text: str) -> str:
     text = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", "", text, flags=re.S | re.I)
-    for _ in range(8):
+    n = 1
+    while n:
         text, n = re.subn(r"(?<![ \t])[ \t]*\{\{[^{}]*\}\}", "", text)
-        if not n:
-            break
     text = re.sub(r"^\{\|.*?^\|\}[ \t]*$", _wiki_table, text, flags=re.M | re.S)
     text = re.sub(r"\[\[(?:category|kategorie|catégorie|categoría|categoria|категория|file|image):[^\[\]]*\]\]", "", text, flags=re.I)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", r"\1", text)
@@ -305,9 +303,9 @@ def clean(text: str | None, found: list[str], plain: bool = False) -> str | None
     if "wiki" in found:
         text = clean_wiki(text)
     if "html" in found:
-        for _ in range(2):  # markup that was escaped shows only now
-            text = clean_html(text)
-            if not _html(text):
+        while True:  # markup that was escaped, once or more often, shows only now
+            before, text = text, clean_html(text)
+            if text == before or not _html(text):
                 break
         text = _PROTECTED.sub(keep, text)
     if plain and "markdown" in found:
@@ -320,21 +318,29 @@ def clean(text: str | None, found: list[str], plain: bool = False) -> str | None
         text = re.sub(r"(\*\*|__|~~)(?=\S)([^*_~\n]+?)\1", r"\2", text)
         text = re.sub(r"(?<![\w*])\*(?=[^\s*])([^*\n]*[^\s*])\*(?![\w*])", r"\1", text)
         text = re.sub(r"^\[[^\]\n]+\]:[ \t]+\S+[^\n]*\n?", "", text, flags=re.M)
-    for _ in range(3):
-        text = re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m.group(1))], text)
+    while "\ue000" in text:  # what was kept may hold what was kept before
+        before, text = text, re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m.group(1))] if int(m.group(1)) < len(kept) else m.group(0), text)
+        if text == before:
+            break
     if plain and "markdown" in found:
         text = re.sub(r"^ {0,3}(?:```|~~~)[^\n]*\n?", "", text, flags=re.M)
         text = re.sub(r"(?<!`)`([^`\n]+)`(?!`)", r"\1", text)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<![ \t])[ \t]+$", "", text, flags=re.M)).strip("\n")
 
 
+def changed(text: str | None, clean_text: str | None) -> bool:
+    """Whether conversion took anything away or rewrote it, white space apart."""
+    return text is not None and text.split() != (clean_text or "").split()
+
+
 def clean_markup(df: DataFrame, key: str, columns: dict[str, bool], with_text: bool = True) -> DataFrame:
-    """Rows (record_id, kinds array<string>, and the clean text of each column).
+    """Rows (record_id, kinds array<string>, found boolean, and the clean text of each column).
 
-    *columns* tells for each text column whether it is plain text.  Null and empty
-    texts hold no markup and stay as they are; other texts without markup are
-    returned unchanged.  Repeated rows stay repeated; extra columns are ignored.
-    With *with_text* false only the kinds come out.
+    *columns* tells for each text column whether it is plain text.  found tells
+    whether conversion changed any of the texts.  Null and empty texts hold no
+    markup and stay as they are; other texts without markup are returned
+    unchanged.  Repeated rows stay repeated; extra columns are ignored.  With
+    *with_text* false the texts are converted but not returned.
     """
     names = list(columns)
     reference = next((c for c in names if not columns[c]), None)
@@ -343,12 +349,14 @@ def clean_markup(df: DataFrame, key: str, columns: dict[str, bool], with_text: b
         for pdf in frames:
             texts = [pdf[f"c{i}"].tolist() for i in range(len(names))]
             aside = texts[names.index(reference)] if reference else [None] * len(pdf)
-            found = [[kinds(t, columns[c], m) for t, m in zip(texts[i], aside)] for i, c in enumerate(names)]
-            out = {"record_id": pdf["_key"], "kinds": [sorted(set().union(*row)) for row in zip(*found)]}
+            kinds_of = [[kinds(t, columns[c], m) for t, m in zip(texts[i], aside)] for i, c in enumerate(names)]
+            done = [[clean(t, k, columns[c]) for t, k in zip(texts[i], kinds_of[i])] for i, c in enumerate(names)]
+            out = {"record_id": pdf["_key"], "kinds": [sorted(set().union(*row)) for row in zip(*kinds_of)]}
+            out["found"] = [any(k and changed(t, u) for k, t, u in zip(ks, ts, us)) for ks, ts, us in zip(zip(*kinds_of), zip(*texts), zip(*done))]
             if with_text:
-                out |= {f"c{i}": [clean(t, k, columns[c]) for t, k in zip(texts[i], found[i])] for i, c in enumerate(names)}
+                out |= {f"c{i}": done[i] for i in range(len(names))}
             yield pd.DataFrame(out)
 
-    schema = f"record_id {df.schema[key].dataType.simpleString()}, kinds array<string>" + "".join(f", c{i} string" for i in range(len(names)) if with_text)
+    schema = f"record_id {df.schema[key].dataType.simpleString()}, kinds array<string>, found boolean" + "".join(f", c{i} string" for i in range(len(names)) if with_text)
     out = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).mapInPandas(run, schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(names)}) if with_text else out
