@@ -8,8 +8,7 @@ and the largest piece.  So an edit moves only the cuts beside it.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SpeculativeBPE, encoder, words
+from .common import counter, runs
 
 _BLOCK = re.compile(r"(?:\r\n?|\n)[ \t]*(?:(?:\r\n?|\n)[ \t]*)+|(?:\r\n?|\n)(?=#{1,6}[ \t])")
 _LINE = re.compile(r"\r\n?|\n| | ")
@@ -54,21 +54,27 @@ def _boundaries(text: str, starts: np.ndarray) -> np.ndarray:
     return level[: len(starts)]
 
 
-def split_text(text: str, limit: int, overlap: int, bpe: SpeculativeBPE) -> list[Piece]:
-    """Pieces of at most *limit* tokens that cover *text*; each but the first begins up to *overlap* tokens before the end of the one before."""
-    total = int(bpe.count_batch([text])[0])
+def split_text(text: str, limit: int, overlap: int, bpe: SpeculativeBPE, count: Callable[[list[str]], np.ndarray] | None = None, total: int | None = None) -> list[Piece]:
+    """Pieces of at most *limit* tokens that cover *text*; each but the first begins up to *overlap* tokens before the end of the one before.
+
+    *count* counts tokens of texts and *total* is the count of *text*, where these are known.
+    """
+    count = count or bpe.count_batch
+    total = int(count([text])[0]) if total is None else total
     if total <= limit:
         return [Piece(0, len(text), total)]
     overlap = max(0, min(overlap, limit - 1))
-    found: list[str] = []
-    for w in words(text):  # a word above a small part of the limit (no spaces, odd runs) is cut by characters
-        found += [w[i : i + 16] for i in range(0, len(w), 16)] if len(w) > 64 else [w]
+    found = words(text)
+    if max(map(len, found)) > 64:  # a word above a small part of the limit (no spaces, odd runs) is cut by characters
+        found = [w[i : i + 16] if len(w) > 64 else w for w in found for i in (range(0, len(w), 16) if len(w) > 64 else (0,))]
     lens = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
     rows = bpe.word_rows(found)
     tokens = np.concatenate(([0], np.cumsum(bpe.lens[rows], dtype=np.int64)))
     level = _boundaries(text, starts)
-    hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found))
+    # What a word is to the rolling hash: its first and last token and their number.
+    own = bpe.lens[rows].astype(np.uint64)
+    hashes = (bpe.pool[bpe.starts[rows]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (bpe.pool[bpe.starts[rows] + bpe.lens[rows] - 1].astype(np.uint64) * np.uint64(0x165667B19E3779F9) + own)
     rolling = np.zeros(len(found), dtype=np.uint64)
     for k in range(min(WINDOW, len(found))):
         rolling[k:] += hashes[: len(found) - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
@@ -91,21 +97,24 @@ def split_text(text: str, limit: int, overlap: int, bpe: SpeculativeBPE) -> list
         marks = np.flatnonzero(landmark[low : high + 1])
         cuts.append(int(best[np.argmin(np.abs(tokens[best] - tokens[marks[0] + low]))] if len(marks) else best[-1]))
     cuts.append(n)
-    out = []
-    position = lambda w: int(starts[w]) if w < n else len(text)
+    spans: list[tuple[int, int, int]] = []
     for a, b in zip(cuts, cuts[1:]):
         if b <= a:
             continue
         begin = a
-        if out and overlap:
+        if spans and overlap:
             first = int(np.searchsorted(tokens, tokens[a] - overlap))
             if first < a:
-                own = level[first:a]
-                begin = int(np.flatnonzero(own == own.max())[0] + first) if own.max() else first
-        exact = int(bpe.count_batch([text[position(begin) : position(b)]])[0])
+                before = level[first:a]
+                begin = int(np.flatnonzero(before == before.max())[0] + first) if before.max() else first
+        spans.append((begin, a, b))
+    position = lambda w: int(starts[w]) if w < n else len(text)
+    out: list[Piece] = []
+    counts = count([text[position(begin) : position(b)] for begin, _, b in spans])
+    for (begin, a, b), exact in zip(spans, counts.tolist()):
         while exact > limit and begin < a:  # words cut apart can need a token more
             begin += 1
-            exact = int(bpe.count_batch([text[position(begin) : position(b)]])[0])
+            exact = int(count([text[position(begin) : position(b)]])[0])
         if exact <= limit:
             out.append(Piece(position(begin), position(b), exact))
         else:
@@ -135,20 +144,23 @@ def split_oversized(df: DataFrame, limit: int, overlap: int, key: str = "chunk_i
         raise ValueError("limit must be positive")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(vocabulary)
-        for pdf in frames:
-            rows = []
-            for k, t, o, h in zip(pdf["k"], pdf["t"], pdf["o"], pdf["h"]):
-                if not t:
-                    rows.append((k, 0, 1, t, int(o), h, 0, 0))
-                    continue
-                pieces = split_text(t, limit, overlap, bpe)
-                heads = headings(t) if "#" in t else []
-                total = pieces[0].tokens if len(pieces) == 1 else int(bpe.count_batch([t])[0])
-                for i, p in enumerate(pieces):
-                    before = [title for at, title in heads if at <= p.start]
-                    rows.append((k, i, len(pieces), t[p.start : p.end], int(o) + p.start, before[-1] if before else h, p.tokens, total))
-            yield pd.DataFrame(rows, columns=["k", "piece_index", "pieces", "text", "char_offset", "section_header", "token_estimate", "source_tokens"])
+        bpe, count = encoder(vocabulary), counter(vocabulary)
+        for whole in frames:
+            for pdf in runs(whole, "t"):
+                rows = []
+                totals = count(pdf["t"].tolist()).tolist()
+                for k, t, o, h, total in zip(pdf["k"], pdf["t"], pdf["o"], pdf["h"], totals):
+                    if not t:
+                        rows.append((k, 0, 1, t, int(o), h, 0, 0))
+                        continue
+                    pieces = split_text(t, limit, overlap, bpe, count, total)
+                    heads = headings(t) if "#" in t else []
+                    at, title = 0, h
+                    for i, p in enumerate(pieces):
+                        while at < len(heads) and heads[at][0] <= p.start:
+                            title, at = heads[at][1], at + 1
+                        rows.append((k, i, len(pieces), t[p.start : p.end], int(o) + p.start, title, p.tokens, total))
+                yield pd.DataFrame(rows, columns=["k", "piece_index", "pieces", "text", "char_offset", "section_header", "token_estimate", "source_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
     cols = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(offset).cast("long"), F.lit(0)).alias("o"), F.col(header).alias("h"))

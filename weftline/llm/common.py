@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,16 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         yield batch.slice(start), texts[start:]
 
 
+def runs(pdf: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """Cut a frame into runs of about BATCH_CHARS characters of *column*; a longer text is a run of its own."""
+    size = np.cumsum(np.fromiter((len(t) if t else 0 for t in pdf[column]), np.int64, len(pdf)))
+    start = 0
+    while start < len(pdf):
+        stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + BATCH_CHARS, side="right")))
+        yield pdf.iloc[start:stop]
+        start = stop
+
+
 def counter(path: str | None = None):
     """A function from texts to their token counts: the Rust encoder where installed, else this package's."""
     own = bpe.encoder(path)
