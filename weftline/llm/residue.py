@@ -9,24 +9,30 @@ pages that show it.  Gaps and dummy copy are told inside any page.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 from operator import eq
+from re import _constants as _c
+from re import _parser
 
+import ahocorasick
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import runs, stored
 
-#: A text of more words is taken as one of its own without mining, and is the page's own if few pages show it.
-MINED_WORDS = 40
 #: Share of equal words that makes two texts one template.
 SIMILAR = 0.75
-#: A text of so many characters that at most so many pages show is the page's own.
+#: A text of so many characters that at most so many pages show is the page's own, and so much code makes a page one of code.
 OWN_CHARS, OWN_PAGES = 60, 2
+#: Words for each of which a notice has one of a notice's phrases: a longer text that names one in passing is none.
+NOTICE_WORDS = 60
+#: Verdicts on texts that one worker keeps.
+CACHE_TEXTS = 200_000
 #: A message template: on so many pages of so many hosts, of which so large a part has no text of its own.
 PAGES, HOSTS, BARE = 3, 2, 0.6
 
@@ -87,20 +93,77 @@ _CASED = re.compile("|".join(g for g in GAPS if "[A-Z]" in g))
 _ANYCASE = re.compile("|".join(g for g in GAPS if "[A-Z]" not in g), re.I)
 _DUMMY = re.compile(rf"^[\W_]*(?:{'|'.join(DUMMY)})", re.I)
 _YOURS = re.compile(r"(?:^|[.!?:,]\s+|^\w+ )your [\w ]{2,40} goes here\W*$", re.I)
-_NOTICE, _NOTICE_OTHER = re.compile(NOTICE, re.I), re.compile(NOTICE_OTHER, re.I)
 
-#: Words of which a notice in Latin script has at least one; other scripts have words of their own.
-_NOTICE_WORDS = frozenset(
-    "error forbidden found unavailable gateway denied gone server access permission rights requests rate maintenance soon shortly later robot human verify checking traffic captcha script scripts javascript java cookies wrong fault exist removed timeout "
-    "wartung gefunden verweigert zugriff berechtigung später serverfehler roboter mensch skript skripte skripten introuvable accès erreur réessayez tard mantenimiento encuentra encontró encontrado existe acceso tarde manutenção encontrada acesso erro".split()
-)
 
 
-def is_notice(text: str, words: list[str]) -> bool:
-    """Whether a text has the words of a notice."""
-    if not text.isascii() and max(text) >= "\u0370" and _NOTICE_OTHER.search(text):
-        return True
-    return not _NOTICE_WORDS.isdisjoint(w.lower() for w in words) and bool(_NOTICE.search(text))
+def needed(parsed) -> frozenset[str] | None:
+    """Strings in lower case of which every match of a parsed pattern holds at least one; null if there are none such."""
+    found: list[frozenset[str]] = []
+    literal = ""
+
+    def end() -> None:
+        nonlocal literal
+        if literal:
+            found.append(frozenset((literal,)))
+        literal = ""
+
+    for op, arg in parsed:
+        if op is _c.LITERAL:
+            literal += chr(arg).lower()
+            continue
+        end()
+        if op is _c.SUBPATTERN:
+            inner = needed(arg[3])
+        elif op is _c.BRANCH:
+            sides = [needed(x) for x in arg[1]]
+            inner = None if any(x is None for x in sides) else frozenset().union(*sides)
+        elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT) and arg[0] > 0:
+            inner = needed(arg[2])
+        else:
+            inner = None
+        if inner:
+            found.append(inner)
+    end()
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+class Phrases:
+    """A pattern of many alternatives, of which only those are tried whose own strings the text holds."""
+
+    #: The letters that equal an ASCII letter only without regard to case.
+    FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
+
+    def __init__(self, pattern: str):
+        parsed = _parser.parse(pattern, re.I)
+        self.whole = re.compile(pattern, re.I)
+        self.strings = needed(parsed)
+        self.finder = ahocorasick.Automaton() if self.strings else None
+        for x in self.strings or ():
+            self.finder.add_word(x, x)
+        if self.finder:
+            self.finder.make_automaton()
+
+    def search(self, text: str) -> bool:
+        return self.possible(text) and bool(self.whole.search(text))
+
+    def count(self, text: str) -> int:
+        return sum(1 for _ in self.whole.finditer(text)) if self.possible(text) else 0
+
+    def possible(self, text: str) -> bool:
+        """Whether the text holds a string that a match needs; it never denies a match."""
+        if self.finder is None or not text.isascii() and self.FOLDED.search(text):
+            return True
+        return next(self.finder.iter(text.lower()), None) is not None
+
+
+_LATIN, _OTHER = Phrases(NOTICE), Phrases(NOTICE_OTHER)
+
+
+def is_notice(text: str, words: int) -> bool:
+    """Whether a text has the phrases of a notice, as many as its length demands."""
+    if words <= NOTICE_WORDS:
+        return _LATIN.search(text) or _OTHER.search(text)
+    return (_LATIN.count(text) + _OTHER.count(text)) * NOTICE_WORDS >= words
 
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)>", re.S)
@@ -209,33 +272,71 @@ def leaf(text: str) -> tuple[list[str], str]:
 
 
 class Leaf:
-    """The templates of one leaf, in the order in which texts came."""
+    """The templates of one leaf, in the order in which texts came.
 
-    def __init__(self) -> None:
+    A text and its template differ in at most a quarter of the words, so in one of
+    more parts than that they don't differ at all: only templates that equal the
+    text in some part, slots apart, are compared with it.
+    """
+
+    def __init__(self, size: int) -> None:
         self.templates: list[list[str]] = []
         self.slots: list[int] = []
+        parts = size - math.ceil(SIMILAR * size) + 1
+        cuts = [min(3, size) + (size - min(3, size)) * k // parts for k in range(parts + 1)]
+        self.parts = list(zip(cuts, cuts[1:]))
+        # For each part the kept places (those that aren't slots) that occur, and the templates by the words there.
+        self.index: list[dict[tuple[int, ...], dict[tuple[str, ...], list[int]]]] = [{} for _ in self.parts]
+
+    def _keys(self, words: list[str], template: bool) -> Iterator[tuple[dict, tuple[int, ...], tuple[str, ...]]]:
+        for (a, b), index in zip(self.parts, self.index):
+            if template:
+                places = tuple(i for i in range(a, b) if words[i] != "\x00")
+                yield index.setdefault(places, {}), places, tuple(words[i] for i in places)
+            else:
+                for places, known in index.items():
+                    yield known, places, tuple(words[i] for i in places)
+
+    def _enter(self, i: int) -> None:
+        for known, _, key in self._keys(self.templates[i], True):
+            own = known.setdefault(key, [])
+            if i not in own[-1:]:
+                own.append(i)
 
     def add(self, words: list[str]) -> int:
         """Index of the template that *words* belong to; it gets slots where they differ."""
         best, most = -1, 0
-        for i, (t, slots) in enumerate(zip(self.templates, self.slots)):
-            same = sum(map(eq, t, words)) + slots
+        for i in sorted({i for known, _, key in self._keys(words, False) for i in known.get(key, ())}):
+            same = sum(map(eq, self.templates[i], words)) + self.slots[i]
             if same > most:
                 best, most = i, same
         if best >= 0 and most >= SIMILAR * len(words):
             merged = [a if a == b else "\x00" for a, b in zip(self.templates[best], words)]  # a slot equals no word
-            self.templates[best], self.slots[best] = merged, merged.count("\x00")
+            if merged != self.templates[best]:
+                self.templates[best], self.slots[best] = merged, merged.count("\x00")
+                self._enter(best)
             return best
         self.templates.append(words)
         self.slots.append(0)
+        self._enter(len(self.templates) - 1)
         return len(self.templates) - 1
 
 
 def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Rows (_key, _url, _host, _title, gap, code, trace, kind, long, chars, _mask, _x): one for each block, or one without for a page that shows none."""
+    """Rows (_key, _url, _host, _title, gap, code, trace, kind, chars, _mask, _x, _leaf, notice): one for each block, or one without for a page that shows none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        known: dict[str, tuple[int, int, bool]] = {}
+
+        def judged(mask: str) -> tuple[int, int, bool]:
+            if mask not in known:
+                if len(known) > CACHE_TEXTS or len(mask) > 4_000:
+                    known.clear()
+                words, name = leaf(mask)
+                known[mask] = _hash(mask), _hash(name), is_notice(mask, len(words))
+            return known[mask]
+
+        for pdf in (x for whole in frames for x in runs(whole, "_html")):
             rows = []
             for k, u, h in zip(pdf["_key"], pdf["_url"], pdf["_html"]):
                 found, code = blocks(h)
@@ -246,43 +347,42 @@ def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 letters = "".join(c for c in name.lower() if c.isalpha())
                 title = _hash(letters) if letters else page
                 trace = bool(code and _TRACE.search(code)) and not any(kind == "text" for kind, _, _ in found)
+                listing = len(code) >= OWN_CHARS  # a path or a name set as code is no body
                 kept = [(kind, text, free) for kind, text, free in found if kind not in ("link", "title")]
                 for kind, text, free in kept:
                     mask = masked(text)
-                    rows.append((k, page, host, title, gap, bool(code), trace, kind, len(mask.split()) > MINED_WORDS or len(mask) > 12 * MINED_WORDS, max(0, free), mask, _hash(mask)))
+                    rows.append((k, page, host, title, gap, listing, trace, kind, max(0, free), mask, *judged(mask)))
                 if not kept:
-                    rows.append((k, page, host, title, gap, bool(code), trace, "", False, 0, None, None))
-            yield pd.DataFrame(rows, columns=["_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "long", "chars", "_mask", "_x"]).astype({"_x": "Int64"})
+                    rows.append((k, page, host, title, gap, listing, trace, "", 0, None, None, None, False))
+            yield pd.DataFrame(rows, columns=["_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "chars", "_mask", "_x", "_leaf", "notice"]).astype({"_x": "Int64", "_leaf": "Int64"})
 
     kind = df.schema[key].dataType.simpleString()
     some = df.where(F.col(html).isNotNull() & (F.length(html) > 0))
-    return some.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html")).mapInPandas(run, f"_key {kind}, _url long, _host long, _title long, gap boolean, code boolean, trace boolean, kind string, long boolean, chars int, _mask string, _x long")
+    return some.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html")).mapInPandas(run, f"_key {kind}, _url long, _host long, _title long, gap boolean, code boolean, trace boolean, kind string, chars int, _mask string, _x long, _leaf long, notice boolean")
 
 
 def mine(texts: DataFrame) -> DataFrame:
-    """Rows (_x, _template, notice): the template of each distinct masked text of *texts* (_x, _mask), as hashes.
+    """Rows (_x, _template): the template of each distinct masked text of *texts* (_x, _leaf, _mask) that isn't alone in its leaf, as hashes.
 
     Leaves of the prefix tree are spread over the cluster and worked through one
     after the other, so no leaf is gathered; a leaf keeps only its templates.
     """
 
-    def key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            split = [leaf(t) for t in pdf["_mask"]]
-            yield pd.DataFrame({"_x": pdf["_x"], "_leaf": [s[1] for s in split], "_words": ["\x1f".join(s[0]) for s in split], "notice": [is_notice(t, s[0]) for t, s in zip(pdf["_mask"], split)]})
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, own = None, Leaf()
+        current, own = None, Leaf(0)
         for pdf in frames:
             found = []
-            for name, words in zip(pdf["_leaf"], pdf["_words"]):
+            for name, mask in zip(pdf["_leaf"], pdf["_mask"]):
+                words = leaf(mask)[0]
                 if name != current:
-                    current, own = name, Leaf()
-                found.append(_hash(f"{name}\x1e{own.add(words.split(chr(31)))}"))
-            yield pd.DataFrame({"_x": pdf["_x"], "_template": found, "notice": pdf["notice"]})
+                    current, own = name, Leaf(len(words))
+                found.append(_hash(f"{name}\x1e{own.add(words)}"))
+            yield pd.DataFrame({"_x": pdf["_x"], "_template": found})
 
-    distinct = texts.groupBy("_x").agg(F.min("_mask").alias("_mask")).mapInPandas(key, "_x long, _leaf string, _words string, notice boolean")
-    return distinct.repartition("_leaf").sortWithinPartitions("_leaf", "_words").mapInPandas(run, "_x long, _template long, notice boolean")
+    # Most texts are the only ones of their leaf and need not be moved.
+    shared = texts.groupBy("_leaf").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high")).where(F.col("_low") != F.col("_high")).select("_leaf")
+    distinct = texts.join(shared, "_leaf", "left_semi").groupBy("_x").agg(F.min("_leaf").alias("_leaf"), F.min("_mask").alias("_mask"))
+    return distinct.repartition("_leaf").sortWithinPartitions("_leaf", "_mask").mapInPandas(run, "_x long, _template long")
 
 
 def residue(df: DataFrame, key: str = "fetch_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -295,21 +395,20 @@ def residue(df: DataFrame, key: str = "fetch_id", url: str = "url", html: str =
     """
     pages = stored(_scan(df, key, url, html), "blocks")
     shown = pages.where(F.col("_mask").isNotNull())
-    short = shown.where(~F.col("long"))
     # A hash of the text joins blocks and templates; texts themselves are shuffled only once, distinct.
-    known = stored(mine(short), "templates")
-    own = shown.select("_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "long", "chars", "_x")
+    known = stored(mine(shown.select("_x", "_leaf", "_mask")), "templates")
+    own = shown.select("_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "chars", "_x", "notice")
     judged = stored(own.join(known, "_x", "left").withColumn("_t", F.coalesce("_template", "_x")).drop("_x", "_template"), "judged")
     # How many pages show a template: distinct (template, page) pairs, so that no page or template is gathered.
     seen = judged.where(F.col("kind") != "noscript").select("_t", "_url", "_host").distinct()
     # Copies of a page under other addresses keep its title, so a text of few titles is a page's own.
     few = judged.select("_t", "_title").distinct().groupBy("_t").agg(F.count("*").alias("_n")).where(F.col("_n") <= OWN_PAGES).select("_t")
-    body = (F.col("chars") >= OWN_CHARS) & (F.col("kind") != "noscript") & ~F.coalesce(F.col("notice"), F.lit(False))
+    body = (F.col("chars") >= OWN_CHARS) & (F.col("kind") != "noscript") & ~F.col("notice")
     thick = judged.where(body).select("_key", "_url", "_t").join(few, "_t", "left_semi").select("_key", "_url").distinct()
     thick = stored(thick, "thick")
     bare = seen.join(thick.select("_url").distinct().withColumn("_thick", F.lit(1)), "_url", "left")
     verdict = bare.groupBy("_t").agg(F.count("*").alias("_n"), F.approx_count_distinct("_host").alias("_hosts"), F.avg(F.when(F.col("_thick").isNull(), 1.0).otherwise(0.0)).alias("_bare"))
-    words = judged.groupBy("_t").agg(F.max(F.coalesce(F.col("notice"), F.lit(False)) | (F.col("kind") == "noscript")).alias("_word"))
+    words = judged.groupBy("_t").agg(F.max(F.col("notice") | (F.col("kind") == "noscript")).alias("_word"))
     message = verdict.join(words, "_t").where((F.col("_bare") >= BARE) & (((F.col("_n") >= PAGES) & (F.col("_hosts") >= HOSTS)) | F.col("_word"))).select("_t", F.lit(True).alias("_message"))
     common = verdict.where((F.col("_bare") < BARE) & (F.col("_n") > OWN_PAGES)).select("_t", F.lit(True).alias("_common"))
     marks = judged.join(message, "_t", "left").join(common, "_t", "left")
