@@ -4,7 +4,9 @@ Two bigram models with interpolated Kneser-Ney smoothing, one of unacceptable an
 one of ordinary language, share their lowest order (continuation counts over both
 classes), so that rare expressions say nothing.  A word's evidence is the
 difference of its log-likelihoods; a text's score is that of its strongest run of
-words within a sentence, each word paying a fixed part, so length alone adds nothing.
+words within a sentence, divided by the run's length and a prior number of words
+that say nothing.  Unlabelled documents fill up the ordinary class: most are
+ordinary, and those that speak like the unacceptable ones are left out.
 Words are read through their disguises (digits and signs for letters, letters of
 other alphabets, stretched or spaced letters, accents, invisible characters).
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -32,10 +34,12 @@ from .common import slices
 LABELLED_DOCS = 5_000
 #: Characters of the labelled documents of either class, at most (whole documents).
 LABELLED_CHARS = 12_000_000
+#: Documents of the ordinary class: where fewer are labelled, unlabelled ones fill it up.
+ORDINARY_DOCS = 2_000
 #: What each word of a run pays, the discount of Kneser-Ney, and the weight of an acceptable document when the threshold is set (labels over-represent the others).
 TOLL, DISCOUNT, ORDINARY_WEIGHT = 0.6, 0.75, 6.0
-#: Evidence (log-likelihood ratio after tolls) below which no text is unacceptable, however few the labels are.
-LEAST_EVIDENCE = 12.0
+#: Words without evidence that each run is taken to have besides its own, and the score below which no text is unacceptable, however few the labels are.
+PRIOR_WORDS, LEAST_SCORE = 20.0, 0.6
 CACHE_WORDS = 400_000
 
 #: Letters that look alike, and signs that stand for letters.
@@ -174,38 +178,41 @@ class Model:
         out = np.zeros(len(texts))
         if not tokens:
             return out
-        best = self._runs(self.ids(tokens))
+        best = self._runs(self.ids(tokens))[1]
         starts = np.concatenate(([0], ends[:-1]))
         some = ends > starts
         out[some] = np.maximum.reduceat(best, starts[some])
         return out
 
-    def points(self, sents: list[tuple[str, ...]]) -> np.ndarray:
-        """Scores of sentences that are already words."""
+    def points(self, sents: list[tuple[str, ...]], normal: bool = False) -> np.ndarray:
+        """Evidence, or with *normal* score, of sentences that are already words."""
         if not sents:
             return np.zeros(0)
         get = self.vocabulary.get
         ids = np.fromiter((i for s in sents for i in (*(get(w, 1) for w in s), -1)), np.int64)
         ends = np.cumsum(np.fromiter((len(s) + 1 for s in sents), np.int64, len(sents)))
-        return np.maximum.reduceat(self._runs(ids), np.concatenate(([0], ends[:-1])))
+        return np.maximum.reduceat(self._runs(ids)[normal], np.concatenate(([0], ends[:-1])))
 
-    def _runs(self, ids: np.ndarray) -> np.ndarray:
-        """For each word the strongest run within its sentence that ends with it."""
+    def _runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the strongest run within its sentence that ends with it: its evidence above the toll, and its evidence by length."""
         word = ids >= 0
         before = np.concatenate(([0], np.where(word[:-1], ids[:-1], 0)))
         gain = np.zeros(len(ids))
         gain[word] = self.ratios(ids[word], before[word]) - TOLL
         # The best run up to a word is its prefix sum less the lowest before it in the sentence; a large step at each break keeps sentences apart.
         total = np.cumsum(gain) - 1e6 * np.cumsum(~word)
-        low = np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))
-        return np.where(word, total - low, 0.0)
+        prior = np.concatenate(([0.0], total[:-1]))
+        low = np.minimum.accumulate(prior)
+        length = np.arange(len(ids)) - np.maximum.accumulate(np.where(prior == low, np.arange(len(ids)), 0)) + 1
+        best = np.where(word, total - low, 0.0)
+        return best, np.where(word, (best + TOLL * length) / (length + PRIOR_WORDS), 0.0)
 
 
 Sentences = list[tuple[str, ...]]
 
 
-def _doc_points(model: Model, docs: list[Sentences]) -> list[np.ndarray]:
-    points = model.points([s for d in docs for s in d])
+def _doc_points(model: Model, docs: list[Sentences], normal: bool = False) -> list[np.ndarray]:
+    points = model.points([s for d in docs for s in d], normal)
     return np.split(points, np.cumsum([len(d) for d in docs])[:-1]) if docs else []
 
 
@@ -249,40 +256,57 @@ def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def held_out(docs: list[Sentences], y: np.ndarray, folds: int = 2) -> np.ndarray:
+    """Scores of documents by models that haven't seen them."""
     fold = np.arange(len(y)) % folds
     held = np.zeros(len(y))
     for k in range(folds):
-        model = fit([d for d, f in zip(docs, fold) if f != k], y[fold != k].tolist())
-        held[fold == k] = [p.max() if len(p) else 0.0 for p in _doc_points(model, [d for d, f in zip(docs, fold) if f == k])]
+        model = fit([d for d, f in zip(docs, fold) if f != k], (y[fold != k] > 0).tolist())
+        held[fold == k] = [p.max() if len(p) else 0.0 for p in _doc_points(model, [d for d, f in zip(docs, fold) if f == k], True)]
     return held
 
 
 def train(texts: list[str], labels: list[int]) -> tuple[Model, float]:
-    """Model and threshold: held-out scores set the threshold and show documents whose label must be wrong."""
+    """Model and threshold: held-out scores set the threshold and show documents whose label must be wrong. Label -1 is of unlabelled documents."""
     y = np.array(labels)
-    if not len(y) or y.min() == y.max():
+    if not (y == 0).any() or not (y == 1).any():
         return Model(Counter(), Counter()), float("inf")
     docs = [list(dict.fromkeys(sentences(t))) for t in texts]
     held = held_out(docs, y)
-    bar = threshold(held, y)
-    keep = ~((y == 0) & (held > 2 * bar))
-    bar = max(LEAST_EVIDENCE, threshold(held[keep], y[keep]))
-    return fit([d for d, k in zip(docs, keep) if k], y[keep].tolist()), bar
+    known = y >= 0
+    bar = threshold(held[known], y[known])
+    # A high score shows a wrong label, and in an unlabelled document that it isn't ordinary.
+    keep = ~((y == 0) & (held > 1.7 * bar) | (y < 0) & (held > 0.8 * bar))
+    bar = max(LEAST_SCORE, threshold(held[keep & known], y[keep & known]))
+    return fit([d for d, k in zip(docs, keep) if k], (y[keep] > 0).tolist()), bar
+
+
+def _texts(df: DataFrame, some: DataFrame, key: str, text: str) -> list[tuple[int, str]]:
+    """(draw, text) of the documents of *some* (_key, _draw), a bounded number: the first by _draw, up to LABELLED_CHARS characters."""
+    rows = df.where(F.length(text) > 0).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(some), "_key")
+    sizes = sorted((r["_draw"], r["_n"]) for r in rows.select("_draw", F.length("_text").alias("_n")).collect())
+    upto, last = 0, None
+    for draw, n in sizes:
+        upto += n
+        if upto > LABELLED_CHARS:
+            break
+        last = draw
+    return [] if last is None else [(r["_draw"], r["_text"]) for r in rows.where(F.col("_draw") <= last).select("_draw", "_text").collect()]
 
 
 def labelled(df: DataFrame, labels: DataFrame, key: str, text: str, most: int = LABELLED_DOCS) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled documents. Ratings of a document are averaged, those that disagree evenly are left out."""
-    ratings = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.avg("label").alias("_y")).where(F.col("_y") != 0.5)
-    texts, classes = [], []
+    """A bounded sample of labelled documents, and unlabelled ones (-1) up to ORDINARY_DOCS. Ratings of a document are averaged, those that disagree evenly are left out."""
+    ratings = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("label").alias("_y")).where(F.col("_y") != 0.5)
+    draw = lambda k: F.xxhash64(k).alias("_draw")
+    found: list[tuple[int, int, str]] = []
     for y in (0, 1):
-        some = ratings.where((F.col("_y") > 0.5) == F.lit(bool(y))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_key"))
-        rows = df.where(F.length(text) > 0).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(some), "_key")  # at most *most* keys
-        rows = rows.withColumn("_before", F.sum(F.length("_text")).over(Window.orderBy(F.xxhash64("_key"), "_key"))).where(F.col("_before") <= LABELLED_CHARS)
-        texts += [r[0] for r in rows.orderBy("_key").select("_text").collect()]
-        classes += [y] * (len(texts) - len(classes))
-    # The classes are mixed, so that every fold has both.
-    order = sorted(range(len(texts)), key=lambda i: (i * 0.6180339887498949) % 1)
-    return [texts[i] for i in order], [classes[i] for i in order]
+        some = ratings.where((F.col("_y") > 0.5) == F.lit(bool(y))).select(F.col("doc_id").alias("_key"), draw("doc_id")).orderBy("_draw", "_key").limit(most)  # at most *most* keys
+        found += [(d, y, t) for d, t in _texts(df, some, key, text)]
+    lack = ORDINARY_DOCS - sum(y == 0 for _, y, _ in found)
+    if lack > 0 and found:
+        rest = df.where(F.length(text) > 0).select(F.col(key).alias("_key"), draw(key)).join(labels.select(F.col("doc_id").alias("_key")), "_key", "left_anti")
+        found += [(d, -1, t) for d, t in _texts(df, rest.orderBy("_draw", "_key").limit(lack), key, text)]
+    found.sort()  # by draw, so that every fold has every class
+    return [t for _, _, t in found], [y for _, y, _ in found]
 
 
 def score_content(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: int = LABELLED_DOCS) -> DataFrame:
