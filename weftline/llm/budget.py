@@ -60,19 +60,22 @@ def language(df: DataFrame, tags: DataFrame, column: str = "language") -> Column
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.lit("unknown"))
 
 
-def token_budget(df: DataFrame, tags: DataFrame, text: str = "text", vocabulary: str | None = None, sample_rows: int = SAMPLE_ROWS, key: str = "row_id") -> DataFrame:
-    """Rows (source_type, language, domain, rows, tokens): estimated totals over all rows of *df*.
+def _base(df: DataFrame, tags: DataFrame, text: str, key: str) -> DataFrame:
+    return df.select(F.col(key).alias("_key"), F.lower("source_type").alias("source_type"), language(df, tags).alias("language"), F.lower("domain").alias("domain"), F.col(text).alias("_text"))
 
-    source_type and domain are in lower case, null stays null and '' stays ''.
-    Tags that name no language, and null, count as 'unknown'.  Null and empty
-    texts are rows without tokens.  An empty table gives no rows.  Rows delivered
-    twice count twice.  Extra columns are ignored.
-    """
-    base = df.select(F.col(key).alias("_key"), F.lower("source_type").alias("source_type"), language(df, tags).alias("language"), F.lower("domain").alias("domain"), F.col(text).alias("_text"))
-    total = df.count()
-    share = min(1.0, sample_rows / max(1, total))
-    draw = F.pmod(F.xxhash64("_key", F.lit("budget")), F.lit(1_000_000))
-    sample = base.where(draw < F.lit(int(share * 1_000_000))).select("language", (draw % 5).alias("_part"), "_text", *[v.alias(k) for k, v in features(F.col("_text")).items()])
+
+def drawn(key: Column, share: float, salt: str) -> Column:
+    """Whether a row is in a sample of this share: a hash of its key of 62 bits, so that shares of a few rows of any table are kept."""
+    return F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(int(share * (1 << 62)))
+
+
+def fitted(base: DataFrame, vocabulary: str | None, sample_rows: int) -> dict[str, np.ndarray]:
+    """Weights of the counts for each language of *base*, bias corrected; the last one is of every text that isn't empty."""
+    total = base.count()
+    if not total:
+        return {}
+    sample = base.where(drawn(F.col("_key"), min(1.0, sample_rows / total), "budget"))
+    sample = sample.select("language", F.pmod(F.xxhash64("_key", F.lit("part")), F.lit(5)).alias("_part"), "_text", *[v.alias(k) for k, v in features(F.col("_text")).items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
@@ -82,10 +85,11 @@ def token_budget(df: DataFrame, tags: DataFrame, text: str = "text", vocabulary:
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns) if i != at] + [pa.array(count(texts))], names=[n for i, n in enumerate(part.schema.names) if i != at] + ["tokens"])
 
     seen = sample.mapInArrow(run, "language string, _part long, " + ", ".join(f"{k} double" for k in FEATURES) + ", tokens long").toPandas()
+    if seen.empty:
+        raise ValueError("the sample is empty: nothing to fit on")
     x, y, part, lang = seen[list(FEATURES)].to_numpy(), seen["tokens"].to_numpy(dtype=float), seen["_part"].to_numpy(), seen["language"].to_numpy()
-    fit = part < 3
-    zero = np.zeros(len(FEATURES) + 1)
-    everywhere = solve(x[fit], y[fit]) if fit.any() else zero
+    fit = part < 3 if (part < 3).any() else np.ones(len(part), dtype=bool)
+    everywhere = solve(x[fit], y[fit])
     names = sorted({r["language"] for r in base.select("language").distinct().collect()})  # at most the languages of the tag table and 'unknown'
     weights = {}
     for name in names:
@@ -94,13 +98,42 @@ def token_budget(df: DataFrame, tags: DataFrame, text: str = "text", vocabulary:
         held = own & ~fit
         guess = float((np.column_stack([x[held], np.ones(held.sum())]) @ w).sum()) if held.any() else 0.0
         weights[name] = w * (y[held].sum() / guess) if held.sum() >= LEAST_ROWS // 3 and guess > 0 else w
-    # A sum of predictions is the prediction of the sums, so only the sums of the counts are shuffled.
-    full = features(F.col("_text"))
-    sums = base.withColumn("_full", (F.coalesce(F.length("_text"), F.lit(0)) > 0).cast("double")).groupBy("source_type", "language", "domain").agg(F.count("*").alias("rows"), F.sum("_full").alias("_full"), *[F.sum(v).alias(k) for k, v in full.items()])
+    return weights
+
+
+def predicted(weights: dict[str, np.ndarray]) -> Column:
+    """The tokens that the weights give for columns of counts; _full tells (or counts) texts that aren't empty."""
     guess = F.lit(0.0)
     for name, w in weights.items():
         line = F.col("_full") * F.lit(float(w[-1]))
         for k, c in zip(FEATURES, w):
             line = line + F.col(k) * F.lit(float(c))
         guess = F.when(F.col("language") == name, line).otherwise(guess)
-    return sums.select("source_type", "language", "domain", "rows", F.greatest(F.lit(0), F.round(guess)).cast("long").alias("tokens"))
+    return F.greatest(F.lit(0), F.round(guess)).cast("long")
+
+
+def _full() -> Column:
+    return (F.coalesce(F.length("_text"), F.lit(0)) > 0).cast("double")
+
+
+def token_budget(df: DataFrame, tags: DataFrame, text: str = "text", vocabulary: str | None = None, sample_rows: int = SAMPLE_ROWS, key: str = "row_id") -> DataFrame:
+    """Rows (source_type, language, domain, rows, tokens): estimated totals over all rows of *df*.
+
+    source_type and domain are in lower case, null stays null and '' stays ''.
+    Tags that name no language, and null, count as 'unknown'.  Null and empty
+    texts are rows without tokens.  An empty table gives no rows.  Rows delivered
+    twice count twice.  Extra columns are ignored.
+    """
+    base = _base(df, tags, text, key)
+    weights = fitted(base, vocabulary, sample_rows)
+    # A sum of predictions is the prediction of the sums, so only the sums of the counts are shuffled.
+    sums = base.withColumn("_full", _full()).groupBy("source_type", "language", "domain").agg(F.count("*").alias("rows"), F.sum("_full").alias("_full"), *[F.sum(v).alias(k) for k, v in features(F.col("_text")).items()])
+    return sums.select("source_type", "language", "domain", "rows", predicted(weights).alias("tokens"))
+
+
+def token_estimates(df: DataFrame, tags: DataFrame, text: str = "text", vocabulary: str | None = None, sample_rows: int = SAMPLE_ROWS, key: str = "row_id") -> DataFrame:
+    """Rows (*key*, source_type, language, domain, tokens): the estimate of every row of *df*, as :func:`token_budget` adds them up."""
+    base = _base(df, tags, text, key)
+    weights = fitted(base, vocabulary, sample_rows)
+    counts = base.select("_key", "source_type", "language", "domain", _full().alias("_full"), *[v.alias(k) for k, v in features(F.col("_text")).items()])
+    return counts.select(F.col("_key").alias(key), "source_type", "language", "domain", predicted(weights).alias("tokens"))

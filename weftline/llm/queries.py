@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .budget import token_budget
+from .budget import token_budget, token_estimates
 from .chunking import split_oversized
 from .common import table
 from .encode import encode_ids
@@ -58,11 +58,15 @@ def p4_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget(table(spark, d, "point_payloads"), table(spark, d, "language_tags"))
 
 
+def p4_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return token_estimates(table(spark, d, "point_payloads"), table(spark, d, "language_tags"))
+
+
 _MARKUP = {"contents": ("content_id", {"markdown": False, "plain_text": True}), "point_payloads": ("row_id", {"text": False})}
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    out = [clean_markup(table(spark, d, t), key, columns, with_text=False).where(F.size("kinds") > 0).select(F.lit(t).alias("source_table"), "record_id") for t, (key, columns) in _MARKUP.items()]
+    out = [clean_markup(table(spark, d, t), key, columns, with_text=False).where("found").select(F.lit(t).alias("source_table"), "record_id") for t, (key, columns) in _MARKUP.items()]
     return out[0].unionByName(out[1])
 
 
@@ -117,7 +121,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(p10_scored(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p7_found, p7_groups, p7_group_chunks, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p4_estimates, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p7_found, p7_groups, p7_group_chunks, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
 
 _REPEATED = """
 WITH lines AS (
