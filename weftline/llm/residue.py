@@ -31,6 +31,8 @@ SIMILAR = 0.75
 OWN_CHARS, OWN_PAGES = 60, 2
 #: Words for each of which a notice has one of a notice's phrases: a longer text that names one in passing is none.
 NOTICE_WORDS = 60
+#: Copies of a page vary a longer text a little: whether it is a page's own is told by its exact wording, not by its template.
+LONG_WORDS = 40
 #: Verdicts on texts that one worker keeps.
 CACHE_TEXTS = 200_000
 #: A message template: on so many pages of so many hosts, of which so large a part has no text of its own.
@@ -323,17 +325,17 @@ class Leaf:
 
 
 def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Rows (_key, _url, _host, _title, gap, code, trace, kind, chars, _mask, _x, _leaf, notice): one for each block, or one without for a page that shows none."""
+    """Rows (_key, _url, _host, _title, gap, code, trace, kind, chars, _mask, _x, _leaf, notice, long): one for each block, or one without for a page that shows none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[int, int, bool]] = {}
+        known: dict[str, tuple[int, int, bool, bool]] = {}
 
-        def judged(mask: str) -> tuple[int, int, bool]:
+        def judged(mask: str) -> tuple[int, int, bool, bool]:
             if mask not in known:
                 if len(known) > CACHE_TEXTS or len(mask) > 4_000:
                     known.clear()
                 words, name = leaf(mask)
-                known[mask] = _hash(mask), _hash(name), is_notice(mask, len(words))
+                known[mask] = _hash(mask), _hash(name), is_notice(mask, len(words)), len(words) > LONG_WORDS
             return known[mask]
 
         for pdf in (x for whole in frames for x in runs(whole, "_html")):
@@ -353,12 +355,12 @@ def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                     mask = masked(text)
                     rows.append((k, page, host, title, gap, listing, trace, kind, max(0, free), mask, *judged(mask)))
                 if not kept:
-                    rows.append((k, page, host, title, gap, listing, trace, "", 0, None, None, None, False))
-            yield pd.DataFrame(rows, columns=["_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "chars", "_mask", "_x", "_leaf", "notice"]).astype({"_x": "Int64", "_leaf": "Int64"})
+                    rows.append((k, page, host, title, gap, listing, trace, "", 0, None, None, None, False, False))
+            yield pd.DataFrame(rows, columns=["_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "chars", "_mask", "_x", "_leaf", "notice", "long"]).astype({"_x": "Int64", "_leaf": "Int64"})
 
     kind = df.schema[key].dataType.simpleString()
     some = df.where(F.col(html).isNotNull() & (F.length(html) > 0))
-    return some.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html")).mapInPandas(run, f"_key {kind}, _url long, _host long, _title long, gap boolean, code boolean, trace boolean, kind string, chars int, _mask string, _x long, _leaf long, notice boolean")
+    return some.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html")).mapInPandas(run, f"_key {kind}, _url long, _host long, _title long, gap boolean, code boolean, trace boolean, kind string, chars int, _mask string, _x long, _leaf long, notice boolean, long boolean")
 
 
 def mine(texts: DataFrame) -> DataFrame:
@@ -397,14 +399,14 @@ def residue(df: DataFrame, key: str = "fetch_id", url: str = "url", html: str =
     shown = pages.where(F.col("_mask").isNotNull())
     # A hash of the text joins blocks and templates; texts themselves are shuffled only once, distinct.
     known = stored(mine(shown.select("_x", "_leaf", "_mask")), "templates")
-    own = shown.select("_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "chars", "_x", "notice")
-    judged = stored(own.join(known, "_x", "left").withColumn("_t", F.coalesce("_template", "_x")).drop("_x", "_template"), "judged")
+    own = shown.select("_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "chars", "_x", "notice", "long")
+    judged = stored(own.join(known, "_x", "left").withColumn("_t", F.coalesce("_template", "_x")).withColumn("_own", F.when(F.col("long"), F.col("_x")).otherwise(F.col("_t"))).drop("_x", "_template"), "judged")
     # How many pages show a template: distinct (template, page) pairs, so that no page or template is gathered.
     seen = judged.where(F.col("kind") != "noscript").select("_t", "_url", "_host").distinct()
     # Copies of a page under other addresses keep its title, so a text of few titles is a page's own.
-    few = judged.select("_t", "_title").distinct().groupBy("_t").agg(F.count("*").alias("_n")).where(F.col("_n") <= OWN_PAGES).select("_t")
+    few = judged.select("_own", "_title").distinct().groupBy("_own").agg(F.count("*").alias("_n")).where(F.col("_n") <= OWN_PAGES).select("_own")
     body = (F.col("chars") >= OWN_CHARS) & (F.col("kind") != "noscript") & ~F.col("notice")
-    thick = judged.where(body).select("_key", "_url", "_t").join(few, "_t", "left_semi").select("_key", "_url").distinct()
+    thick = judged.where(body).select("_key", "_url", "_own").join(few, "_own", "left_semi").select("_key", "_url").distinct()
     thick = stored(thick, "thick")
     bare = seen.join(thick.select("_url").distinct().withColumn("_thick", F.lit(1)), "_url", "left")
     verdict = bare.groupBy("_t").agg(F.count("*").alias("_n"), F.approx_count_distinct("_host").alias("_hosts"), F.avg(F.when(F.col("_thick").isNull(), 1.0).otherwise(0.0)).alias("_bare"))
