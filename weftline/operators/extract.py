@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import math
 import re
+import signal
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -18,42 +21,72 @@ SCHEMA = (
     "error string, title string, description string, author string, published_date string, language string, site_name string, image string, favicon string, word_count long, "
     "markdown string, plain_text string, links array<struct<text:string,href:string>>, images array<struct<alt:string,src:string>>, code_blocks array<struct<language:string,code:string>>, structured_data array<string>"
 )
-#: Elements, roles and class tokens of page furniture.
-NOISE_TAGS = frozenset("script style noscript iframe svg nav aside footer header form video audio canvas template".split())
+#: Elements, roles, class tokens and ids of page furniture, and prefixes of consent managers.
+NOISE_TAGS = frozenset("script style noscript iframe svg nav aside footer header video audio canvas template".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo".split())
-NOISE_CLASSES = frozenset("header top navbar footer bottom sidebar side aside modal popup overlay ad ads advert lang-selector language social social-media social-links share menu navigation breadcrumbs breadcrumb widget cookie cookie-banner newsletter subscribe skip-link pagination related comments".split())
-#: Sizes in bytes: a noisy element larger than this is kept, as it probably wraps the page; a form below this goes.
+NOISE_CLASSES = frozenset(
+    "header top navbar footer bottom sidebar modal popup overlay ad ads advert lang-selector language social social-media social-links menu navigation breadcrumbs breadcrumb share widget cookie newsletter subscribe skip-link "
+    "sr-only visually-hidden notification alert toast pagination pager signup login-form search-form related-posts recommended".split()
+)
+NOISE_IDS = frozenset("header footer nav sidebar menu modal popup cookie breadcrumbs widget ad social share newsletter subscribe comments related recommended".split())
+CONSENT = tuple("onetrust optanon ot-sdk cookiebot CybotCookiebot cc- cookie-law gdpr consent- cmp- sp_message qc-cmp trustarc evidon".split())
+FORM_WORDS = ("login", "search", "subscribe", "signup", "newsletter", "contact")
+#: Sizes in bytes: an element that is noisy by class or id and larger than this is kept, as it probably wraps the page; a form below this goes.
 KEEP_ABOVE, FORM_BELOW = 5_000, 500
 
+_ABSOLUTE, _SPACE, _BLANKS, _HEADING = re.compile(r"[a-z][a-z0-9+.-]*:|//", re.I), re.compile(r"\s+"), re.compile(r"[ \t]+"), re.compile(r"h[1-6]")
+_AD = re.compile(r"(?:^|\s)(?:ad(?=[\s_-]|$)|\S*[-_]ad(?=\s|$))")
+
 
 def size(text: str) -> int:
-    return len(text.encode("utf-8", "surrogatepass"))
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
 def is_noise(node: Element) -> bool:
-    if node.tag in ("html", "body"):
+    if node.noise is None:
+        node.noise = _noisy(node)
+    return node.noise
+
+
+def _noisy(node: Element) -> bool:
+    tag = node.tag
+    if tag in ("html", "body"):
         return False
-    if node.tag in ("script", "style", "noscript", "iframe", "svg", "template", "canvas"):
+    if tag in NOISE_TAGS:
+        return True
+    if not node.raw:
+        return tag == "form" and node.size < FORM_BELOW
+    attrs = node.attrs
+    classes = attrs.get("class", "")
+    low = classes.lower()
+    if tag == "form":
+        return node.size < FORM_BELOW or any(w in low for w in FORM_WORDS)
+    if attrs.get("role") in NOISE_ROLES:
         return True
-    if node.tag == "form":
-        return size(node.text()) < FORM_BELOW
-    noisy = node.tag in NOISE_TAGS or node.attrs.get("role", "").lower() in NOISE_ROLES or not NOISE_CLASSES.isdisjoint(node.classes()) or any(c.startswith(("footer-", "header-", "nav-")) for c in node.classes()) or node.attrs.get("id", "").lower() in NOISE_CLASSES
-    return noisy and size(node.text()) <= KEEP_ABOVE
+    name = attrs.get("id", "").lower()
+    if classes:
+        tokens = low.split()
+        if not NOISE_CLASSES.isdisjoint(tokens) or any(t.startswith(("footer", "header-", "nav-")) for t in tokens) or "ad" in classes and _AD.search(classes):
+            return node.size <= KEEP_ABOVE
+    if name in NOISE_IDS:
+        return node.size <= KEEP_ABOVE
+    return name.startswith(CONSENT) or any(c in low for c in CONSENT)
 
 
 def candidate_score(node: Element) -> float:
     """ln(bytes), bonuses for article, main and telling names and for paragraphs, cut by link density."""
-    text = node.text()
-    total = size(text.strip())
+    total = max(0, node.size - node.lead - node.trail)
     if total < 50:
         return -1.0
-    strong = node.tag in ("article", "main") or node.attrs.get("role") == "main"
+    main = node.attrs.get("role") == "main"
+    strong = node.tag in ("article", "main")
     names = ("content", "article", "main", "post", "body", "entry")
-    out = math.log(total) + 50 * (node.tag in ("article", "main")) + 50 * (node.attrs.get("role") == "main") + 25 * any(n in " ".join(node.classes()) for n in names) + 25 * any(n in node.attrs.get("id", "").lower() for n in names)
-    out += 3 * sum(1 for _ in node.find("p"))
-    density = sum(size(a.text()) for a in node.find("a")) / total
-    steps = ((0.7, 0.3), (0.5, 0.5)) if strong else ((0.5, 0.1), (0.3, 0.5))
-    for limit, factor in steps:
+    out = math.log(total) + 50 * strong + 50 * main + 3 * node.paragraphs
+    if node.raw:
+        classes, name = " ".join(node.classes()), node.attrs.get("id", "").lower()
+        out += 25 * any(n in classes for n in names) + 25 * any(n in name for n in names)
+    density = node.linked / total
+    for limit, factor in ((0.7, 0.3), (0.5, 0.5)) if strong or main else ((0.5, 0.1), (0.3, 0.5)):
         if density > limit:
             return out * factor
     return out
@@ -83,12 +116,22 @@ def best_source(srcset: str) -> str:
     return best
 
 
+#: Languages that a class may name without a prefix, and short names.
+LANGUAGES = frozenset(
+    "javascript typescript python rust go java ruby php swift kotlin scala html css scss sass less json yaml yml toml xml sql graphql bash shell sh zsh powershell dockerfile makefile c cpp csharp js ts jsx tsx py rb rs md markdown r lua perl elixir "
+    "haskell ocaml clojure dart zig nim wasm diff text plaintext console".split()
+)
+SHORT_NAMES = {"javascript": "js", "typescript": "ts", "py": "python", "cs": "csharp", "c#": "csharp", "c++": "cpp", "shell": "bash", "zsh": "bash", "sh": "bash", "yml": "yaml", "rs": "rust", "md": "markdown", "plaintext": "text"}
+
+
 def code_language(node: Element) -> str | None:
+    """The language that a class of a code element, or of an element within, names."""
     for n in node.walk():
-        for c in n.classes():
-            m = re.match(r"(?:language|lang|highlight|sp)-([\w+#.-]+)$", c)
-            if m:
-                return {"js": "javascript", "py": "python", "sh": "bash", "ts": "typescript", "yml": "yaml", "rs": "rust"}.get(m.group(1), m.group(1))
+        for c in n.attrs.get("class", "").split() if n.raw else ():
+            m = re.match(r"(?:language|lang|highlight)-(\S{1,19})$", c)
+            name = (m.group(1) if m else c.removeprefix("sp-")).lower()
+            if m or name in LANGUAGES:
+                return SHORT_NAMES.get(name, name)
     return None
 
 
@@ -97,17 +140,38 @@ class Markdown:
 
     def __init__(self, base: str, excluded: set[int]):
         self.base, self.excluded = base, excluded
+        site = re.match(r"^https?://[^/?#]+", base)
+        self.origin = site.group(0) if site else ""
         self.links: list[tuple[str, str]] = []
         self.images: list[tuple[str, str]] = []
         self.code: list[tuple[str | None, str]] = []
 
     def url(self, href: str) -> str:
-        return href if re.match(r"^(?:[a-z][a-z0-9+.-]*:|//)", href, re.I) else urljoin(self.base, href) if self.base else href
+        if _ABSOLUTE.match(href) or not self.base:
+            return href
+        if href.startswith("/") and "/." not in href and self.origin:
+            return self.origin + href
+        return urljoin(self.base, href)
+
+    def assets(self, node: Element) -> None:
+        """Images with a text and absolute links of page furniture: kept as metadata, not as text."""
+        if node.tag in ("script", "style", "template") or not node.children:
+            return
+        for n in node.walk():
+            if n.tag == "img" and n.attrs.get("alt") and n.attrs.get("src"):
+                self.images.append((n.attrs["alt"], self.url(n.attrs["src"])))
+            elif n.tag == "a" and n.attrs.get("href"):
+                href, text = self.url(n.attrs["href"]), n.text().strip()
+                if text and href.startswith(("http", "//")):
+                    self.links.append((re.sub(r"\s+", " ", text), href))
 
     def inline(self, node: Element | str) -> str:
         if isinstance(node, str):
-            return re.sub(r"\s+", " ", node)
-        if id(node) in self.excluded or is_noise(node):
+            return _SPACE.sub(" ", node)
+        if id(node) in self.excluded:
+            return ""
+        if is_noise(node):
+            self.assets(node)
             return ""
         tag = node.tag
         if tag == "br":
@@ -142,16 +206,20 @@ class Markdown:
         run: list[str] = []
 
         def flush() -> None:
-            text = re.sub(r"[ \t]+", " ", "".join(run)).strip()
-            if text:
-                out.append(text)
-            run.clear()
+            if run:
+                text = _BLANKS.sub(" ", "".join(run)).strip()
+                if text:
+                    out.append(text)
+                run.clear()
 
         for c in node.children:
-            if isinstance(c, str) or c.tag not in BLOCK and not any(x.tag in BLOCK for x in c.walk()):
+            if isinstance(c, str) or not c.blocky:
                 run.append(self.inline(c))
                 continue
-            if id(c) in self.excluded or is_noise(c):
+            if id(c) in self.excluded:
+                continue
+            if is_noise(c):
+                self.assets(c)
                 continue
             flush()
             out += self.block(c, depth)
@@ -160,7 +228,7 @@ class Markdown:
 
     def block(self, node: Element, depth: int) -> list[str]:
         tag = node.tag
-        if re.fullmatch(r"h[1-6]", tag):
+        if _HEADING.fullmatch(tag):
             text = re.sub(r"\s+", " ", "".join(self.inline(c) for c in node.children)).strip()
             return [f"{'#' * int(tag[1])} {text}"] if text else []
         if tag == "pre":
@@ -235,6 +303,113 @@ def hero(root: Element, text: str) -> str | None:
     return None
 
 
+def _squeezed(node: Element) -> str:
+    return _SPACE.sub(" ", node.text()).strip()
+
+
+def section_headings(root: Element, text: str) -> str:
+    """*text* with the h2 headings that furniture rules took from sections whose text it has, and the short lines (up to 80 bytes) above headings."""
+    for h2 in root.find("h2"):
+        title = _squeezed(h2)
+        ups = list(_ancestors(h2))
+        if not title or title in text or any(u.tag in ("nav", "aside", "header", "footer") for u in ups):
+            continue
+        home = next((u for u in ups if u.tag in ("section", "article", "main", "body")), None)
+        for n in home.walk() if home is not None else ():
+            if n.tag in ("p", "h3", "h4") and len(t := _squeezed(n)) > 15 and t not in title and (at := text.find(t)) >= 0:
+                start = text.rfind("\n", 0, at) + 1
+                while start:  # short lines before it, such as a number, belong to the section too
+                    above = text[:start].rstrip("\n").rpartition("\n")[2]
+                    if not above or len(above) > 25 or above.startswith("#"):
+                        break
+                    start = len(text[:start].rstrip("\n")) - len(above)
+                text = f"{text[:start]}## {title}\n\n{text[start:]}"
+                break
+    for h2 in root.find("h2"):
+        title = _squeezed(h2)
+        at = text.find(title) if title else -1
+        if at < 0:
+            continue
+        for c in h2.parent.children:
+            if c is h2:
+                break
+            if isinstance(c, Element) and c.tag == "p" and (t := _squeezed(c)) and size(t) <= 80 and not t.startswith("/") and t not in strip_markdown(text):
+                start = text.rfind("\n", 0, text.find(title)) + 1
+                text = f"{text[:start]}*{t}*\n\n{text[start:]}"
+    return text
+
+
+#: Headings of footers that name only the footer, class words of headings for screen readers, and what links worth keeping lead to.
+FOOTER_NAMES, HIDDEN_WORDS, CALLS = ("footer", "navigation", "site map"), ("sr-only", "visually-hidden", "screen-reader"), ("docs.", "/docs", "app.", "/app", "api.")
+
+
+def footer_calls(root: Element, render: Markdown, text: str) -> str:
+    """*text* with the headings of footers and their links to documentation, applications and interfaces that it lacks."""
+    for footer in root.find("footer"):
+        for h2 in footer.find("h2"):
+            title = _squeezed(h2)
+            if title and title not in text and title.lower() not in FOOTER_NAMES and not any(w in h2.attrs.get("class", "").lower() for w in HIDDEN_WORDS):
+                text = f"{text}\n\n## {title}".strip()
+        for a in footer.find("a"):
+            label, href = _squeezed(a), render.url(a.attrs.get("href", ""))
+            if label and href and label not in text and any(c in href.lower() for c in CALLS):
+                text = f"{text}\n\n[{label}]({href})".strip()
+                render.links.append((label, href))
+    return text
+
+
+_LITERAL = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|new Date\(([^()]*)\)|[A-Za-z_$][\w$]*(?:\s+0)?|,(?=\s*[\]}])", re.S)
+
+
+def literal_json(source: str) -> object:
+    """The value of a JavaScript literal of objects, lists, strings and numbers; raises ValueError where it is more."""
+
+    def one(m: re.Match) -> str:
+        t = m.group(0)
+        if t == ",":
+            return ""
+        if t[0] == '"':
+            return t
+        if t[0] in "'`":
+            return json.dumps(re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t", "r": "\r"}.get(e.group(1), e.group(1)), t[1:-1]))
+        if m.group(1) is not None:
+            return m.group(1) or "null"
+        if t in ("true", "false", "null"):
+            return t
+        if t == "undefined" or re.fullmatch(r"void\s+0", t):
+            return "null"
+        return json.dumps(t)
+
+    return json.loads(_LITERAL.sub(one, source))
+
+
+def balanced(text: str, start: int) -> str | None:
+    """The bracketed part that begins at *start*, strings passed over; None if it never ends."""
+    depth = 0
+    for m in re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[\[\]{}()]", re.S).finditer(text, start):
+        t = m.group(0)
+        if len(t) == 1:
+            depth += 1 if t in "[{(" else -1
+            if not depth:
+                return text[start : m.end()]
+    return None
+
+
+def started_data(html: str) -> list[str]:
+    """What an application's start call hands over as data: each part as JSON, taken out of its wrapping; nothing where it isn't a literal."""
+    out = []
+    for m in re.finditer(r"kit\.start\(", html):
+        at = re.compile(r"\bdata\s*:\s*(?=\[)").search(html, m.end())
+        body = balanced(html, at.end()) if at else None
+        if body and size(body) >= 20:
+            try:
+                found = literal_json(body)
+            except ValueError:
+                continue
+            out += [json.dumps(x["data"] if isinstance(x, dict) and "data" in x else x, ensure_ascii=False) for x in found if x is not None]
+    return out
+
+
 def footer_links(root: Element, render: Markdown) -> str | None:
     """The categories of a footer's site map, if there are three or more with 2 to 20 links each."""
     parts = []
@@ -286,11 +461,15 @@ def captions(xml: str) -> str:
     return " ".join(filter(None, (re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", entities.unescape(entities.unescape(x)))).strip() for x in re.findall(r"<text[^>]*>(.*?)</text>", xml, re.S))))
 
 
+_IMAGE_MARK, _LINK_MARK = re.compile(r"!\[([^\]]*)\]\([^)]*\)"), re.compile(r"\[([^\]]*)\]\([^)]*\)")
+_LINE_MARK, _TEXT_MARK = re.compile(r"^(?:#{1,6} |> |```.*$)", re.M), re.compile(r"\*\*|(?<!\w)\*|\*(?!\w)|`")
+
+
 def strip_markdown(text: str) -> str:
-    text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    text = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    text = re.sub(r"^(?:#{1,6} |> |```.*$)", "", text, flags=re.M)
-    return re.sub(r"\*\*|(?<!\w)\*|\*(?!\w)|`", "", text)
+    if "](" in text:
+        text = _LINK_MARK.sub(r"\1", _IMAGE_MARK.sub(r"\1", text))
+    text = _LINE_MARK.sub("", text)
+    return _TEXT_MARK.sub("", text) if "*" in text or "`" in text else text
 
 
 def json_ld(html: str) -> list[str]:
@@ -311,7 +490,7 @@ def json_ld(html: str) -> list[str]:
             out.append(json.dumps(data.get("props", {}).get("pageProps") or data, ensure_ascii=False))
         except (ValueError, AttributeError):
             pass
-    return out
+    return out + (started_data(html) if "kit.start(" in html else [])
 
 
 def extract(html: str | None, url: str | None = None, include: str | None = None, exclude: str | None = None, only_main: bool = False) -> dict:
@@ -336,7 +515,13 @@ def extract(html: str | None, url: str | None = None, include: str | None = None
         md = Markdown(url or "", dropped)
         return md, re.sub(r"\n{3,}", "\n\n", "\n\n".join(b for n in nodes for b in md.blocks(n))).strip()
 
-    words = lambda t: len(strip_markdown(t).split())
+    known: dict[str, int] = {}
+
+    def words(t: str) -> int:
+        if t not in known:
+            known[t] = len(strip_markdown(t).split())
+        return known[t]
+
     if include:
         chosen = select(root, include)
         md, text = render([n for n in chosen if not any(up in chosen for up in _ancestors(n))])
@@ -358,6 +543,9 @@ def extract(html: str | None, url: str | None = None, include: str | None = None
         text = "\n\n".join(filter(None, [*(a for a in announcements(root) if a not in text), text]))
         if words(text) < 500:
             text = "\n\n".join(filter(None, [text, *data_islands(html, text)]))
+        text = section_headings(root, text) if "h2" in root.index else text
+        if not only_main:
+            text = footer_calls(root, md, text)
         site_map = footer_links(root, md)
         if site_map and not only_main:
             text = f"{text}\n\n{site_map}".strip()
@@ -377,6 +565,29 @@ def _ancestors(node: Element) -> Iterator[Element]:
         up = up.parent
 
 
+@contextmanager
+def deadline(seconds: float) -> Iterator[None]:
+    """Raise TimeoutError in the main thread of a worker after so many seconds; elsewhere there is no limit."""
+    if threading.current_thread() is not threading.main_thread() or not hasattr(signal, "setitimer"):
+        yield
+        return
+
+    def over(*_: object) -> None:
+        raise TimeoutError(f"longer than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+#: Seconds that one page may take.
+PAGE_SECONDS = 5.0
+
+
 def extract_pages(df: DataFrame, key: str = "fetch_id", url: str = "url", html: str = "html", **options) -> DataFrame:
     """Rows (*key*, url, fields of SCHEMA): one for each row of *df*; a page that can't be read has its error instead of failing the task."""
 
@@ -385,8 +596,9 @@ def extract_pages(df: DataFrame, key: str = "fetch_id", url: str = "url", html:
             rows = []
             for u, h in zip(pdf["_url"], pdf["_html"]):
                 try:
-                    rows.append(extract(h, u, **options))
-                except (RecursionError, ValueError) as e:
+                    with deadline(PAGE_SECONDS):
+                        rows.append(extract(h, u, **options))
+                except (RecursionError, ValueError, TimeoutError) as e:
                     rows.append(extract(None) | {"error": str(e)[:200]})
             yield pd.DataFrame(rows).assign(_key=pdf["_key"].to_numpy(), _url=pdf["_url"].to_numpy())
 
