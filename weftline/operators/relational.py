@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from ..functions import text as ft
 from ..functions import urls as fu
 
 
+_HEADING = re.compile(r"^#{1,3} +([^\n]*)", re.M)
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a stated order (ties are decided by *order*, so it must be total)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -89,7 +96,7 @@ def top_scored(df: DataFrame, query: str, n: int, url: str = "url", title: str =
     path = F.regexp_replace(url, r"\?.*$", "")
     penalty = F.when(path.rlike(r"/(LICENSE|README\.md|CHANGELOG\.md|CHANGELOG)$"), 2).when(path.endswith("all.html"), 1).otherwise(0)
     best = df.select(F.col(url), F.col(title), score.alias("score"), penalty.alias("penalty")).where(F.col("score") > 0)
-    return best.orderBy(F.desc("score"), "penalty", F.octet_length(url), url).limit(n)
+    return best.orderBy(F.desc("score"), "penalty", F.octet_length(url), url, title).limit(n)
 
 
 def heading_as_of(chunks: DataFrame, headings: DataFrame, key: str, offset: str = "char_offset") -> DataFrame:
@@ -100,11 +107,16 @@ def heading_as_of(chunks: DataFrame, headings: DataFrame, key: str, offset: str
 
 
 def headings_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, offset in characters, title) of h1 to h3 lines."""
-    lines = F.split(text, "\n", -1)
-    starts = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    rows = df.select(key, F.explode(F.arrays_zip(lines.alias("line"), F.slice(starts, 1, F.size(lines)).alias("offset"))).alias("_z"))
-    return rows.where(F.col("_z.line").rlike(r"^#{1,3} ")).select(key, F.col("_z.offset").cast("long").alias("offset"), F.trim(F.regexp_replace(F.col("_z.line"), r"^#{1,3} +", "")).alias("title"))
+    """Rows (key, offset in characters, title) of h1 to h3 lines; each text is read once, null ones have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(k, m.start(), m.group(1).strip(" ")) for k, t in zip(pdf["_key"], pdf["_text"]) if t for m in _HEADING.finditer(t)]
+            yield pd.DataFrame(rows, columns=["_key", "offset", "title"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.contains(text, F.lit("#"))).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInPandas(run, f"_key {kind}, offset long, title string").withColumnRenamed("_key", key)
 
 
 def not_indexed(files: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,12 +151,11 @@ def cap_history(df: DataFrame, key: str, order: list[str], cap: int = 100) -> Da
 
 
 def dedup_blocks(df: DataFrame, key: str, text: str, floor: int = 20) -> DataFrame:
-    """Rows (key, text): each text without blocks (split at blank lines) that repeat an earlier one, of at least *floor* bytes; shorter blocks stay."""
-    blocks = df.select(key, F.posexplode(F.split(text, r"\n\n+")).alias("pos", "block"))
-    rank = F.row_number().over(Window.partitionBy(key, "block").orderBy("pos"))
-    kept = blocks.withColumn("_r", rank).where((F.octet_length("block") < floor) | (F.col("_r") == 1))
-    joined = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_b"))  # bounded by one text
-    return joined.select(key, F.array_join(F.transform("_b", lambda s: s["block"]), "\n\n").alias(text))
+    """Rows (key, text): each text without blocks (split at blank lines) that repeat an earlier one, of at least *floor* bytes; shorter blocks stay. Null texts go. Nothing is shuffled."""
+    # Short blocks are marked by their place, which makes them differ; the first of equal strings stays.
+    marked = F.transform(F.split(text, r"\n\n+"), lambda x, i: F.when(F.octet_length(x) < floor, F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), x)).otherwise(x))
+    kept = F.transform(F.array_distinct(marked), lambda x: F.when(x.startswith("\x01"), F.regexp_replace(x, "^\x01[0-9]+\x02", "")).otherwise(x))
+    return df.where(F.col(text).isNotNull()).select(key, F.array_join(kept, "\n\n").alias(text))
 
 
 def changes_over_time(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -153,17 +164,20 @@ def changes_over_time(df: DataFrame, key: str, order: list[str], value: str) ->
     return df.withColumn("previous", F.lag(value).over(w)).withColumn("status", F.when(F.row_number().over(w) == 1, "New").when(F.col("previous").eqNullSafe(F.col(value)), "Same").otherwise("Changed"))
 
 
-def qualify_links(links: DataFrame, base_url: Column, include: list[str], exclude: list[str], visited: DataFrame | None = None) -> DataFrame:
-    """Links (column href) worth crawling: public, of the same origin, with a path that the globs allow and no file suffix, in crawl form; seen ones go by anti-join."""
+#: Suffixes of files that hold no page.
+SKIP_SUFFIXES = ".pdf .png .jpg .jpeg .gif .svg .webp .ico .css .js .zip .tar .gz .xml .rss .mp3 .mp4 .avi .mov .woff .woff2 .ttf .eot".split()
+
+
+def qualify_links(links: DataFrame, base_url: Column, include: list[str], exclude: list[str], visited: DataFrame | None = None, prefix: str | None = None) -> DataFrame:
+    """Links (column href) worth crawling: public, of the same origin, with a path that begins with *prefix*, that the globs allow and that has no file suffix, in crawl form; seen ones go by anti-join."""
     path = fu.part(F.col("href"), 4)
-    keep = fu.is_public(F.col("href")) & (fu.origin(F.col("href")) == fu.origin(base_url)) & ~F.lower(path).rlike(SKIP_SUFFIX)
+    suffix = "(?:" + "|".join(re.escape(x) for x in SKIP_SUFFIXES) + ")$"
+    keep = fu.is_public(F.col("href")) & (fu.origin(F.col("href")) == fu.origin(base_url)) & ~F.lower(path).rlike(suffix)
+    if prefix:
+        keep = keep & path.startswith(prefix)
     if include:
         keep = keep & fu.glob_match(path, include)
     if exclude:
         keep = keep & ~fu.glob_match(path, exclude)
     out = links.where(keep).withColumn("href", fu.crawl_form(F.col("href")))
     return out.join(visited.select(F.col("url").alias("href")), "href", "left_anti") if visited is not None else out
-
-
-#: Suffixes of files that hold no page.
-SKIP_SUFFIX = r"\.(?:png|jpe?g|gif|svg|webp|ico|css|js|woff2?|ttf|eot|mp3|mp4|avi|mov|zip|gz|tar|pdf|xml|json|exe)$"

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .relational import cap_history
@@ -16,6 +15,8 @@ from .relational import cap_history
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -81,31 +82,81 @@ def build(versions: DataFrame, order: list[str], key: str = "url", at: str = "fe
     return last.join(logs, key).select(key, *[F.col(f"_last.{c}").alias(c) for c in fields], "first_seen", "last_fetched", "fetch_count", "changelog")
 
 
-class Store:
-    """Snapshots under a folder and a pointer file that names the current one; a snapshot is never overwritten while it is read."""
+#: Bytes of a document above which it isn't stored, and of an operation's output above which a mark stands for it.
+MOST_BYTES, MOST_OUTPUT = 2 << 20, 1 << 20
+
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+class Store:
+    """Documents under a folder, in buckets by key; a version file lists the tables that the buckets are in.
 
-    def _pointer(self) -> str:
-        return os.path.join(self.folder, "CURRENT")
+    A write merges a batch into the buckets that it touches and puts a new version
+    beside the others, which fails where another writer was first.  Tables that the
+    last two versions don't list are removed.  Files go through the Hadoop file
+    system, so the folder may be anywhere.
+    """
 
-    def read(self) -> DataFrame | None:
-        if not os.path.exists(self._pointer()):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        at = self._path(f"{self.folder}/versions")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _load(self, name: str) -> dict[str, str]:
+        stream = self._fs.open(self._path(f"{self.folder}/versions/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _current(self) -> dict[str, str]:
+        known = self._versions()
+        return self._load(known[-1]) if known else {}
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def read(self, keys: list[str] | None = None, key: str = "url") -> DataFrame | None:
+        """All documents, or those of some keys, for which only their buckets are read; None from an empty store."""
+        tables = self._current()
+        if keys is not None:
+            names = self.spark.createDataFrame([(k,) for k in keys], "k string").select(self.bucket(F.col("k")).alias("b")).distinct().collect()
+            tables = {str(r["b"]): tables[str(r["b"])] for r in names if str(r["b"]) in tables}
+        if not tables:
             return None
-        with open(self._pointer()) as f:
-            return self.spark.read.parquet(os.path.join(self.folder, json.load(f)["snapshot"]))
-
-    def write(self, batch: DataFrame, key: str = "url", at: str = "fetched_at") -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        os.makedirs(self.folder, exist_ok=True)
-        merge(self.read(), batch, key, at).write.parquet(os.path.join(self.folder, name))
-        partial = f"{self._pointer()}.{name}"
-        with open(partial, "w") as f:
-            json.dump({"snapshot": name}, f)
-        os.replace(partial, self._pointer())
+        out = self.spark.read.parquet(*sorted({f"{self.folder}/{t}/bucket={b}" for b, t in tables.items()}))
+        return out if keys is None else out.where(F.col(key).isin(keys))
+
+    def write(self, batch: DataFrame, key: str = "url", at: str = "fetched_at", text: str = "markdown") -> int:
+        """Merge a batch (each key once); the number of documents left out because they are too large."""
+        large = F.coalesce(F.octet_length(text), F.lit(0)) > MOST_BYTES if text in batch.columns else F.lit(False)
+        kept = cut(batch.where(~large), "batch")
+        touched = [str(r["b"]) for r in kept.select(self.bucket(F.col(key)).alias("b")).distinct().collect()]  # at most the buckets
+        known = self._versions()
+        tables = self._load(known[-1]) if known else {}
+        old = [f"{self.folder}/{tables[b]}/bucket={b}" for b in touched if b in tables]
+        name = f"table-{uuid.uuid4().hex}"
+        merged = merge(self.spark.read.parquet(*sorted(old)) if old else None, kept, key, at)
+        merged.withColumn("bucket", self.bucket(F.col(key))).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        self._publish(tables | dict.fromkeys(touched, name), len(known) and int(known[-1][:-5]) + 1)
+        return batch.where(large).count()
+
+    def _publish(self, tables: dict[str, str], number: int) -> None:
+        stream = self._fs.create(self._path(f"{self.folder}/versions/{number:012d}.json"), False)  # fails where it exists
+        try:
+            stream.write(bytearray(json.dumps(tables).encode()))
+        finally:
+            stream.close()
+        known = self._versions()
+        used = {t for v in known[-2:] for t in self._load(v).values()}
+        for v in known[:-2]:
+            for t in set(self._load(v).values()) - used:
+                self._fs.delete(self._path(f"{self.folder}/{t}"), True)
+            self._fs.delete(self._path(f"{self.folder}/versions/{v}"), False)
 
     def log(self, entries: DataFrame) -> None:
         """Append operations (op, at, url, input, output) as JSON lines by domain; an output above 1 MiB becomes a mark."""
-        big = F.octet_length("output") > 1 << 20
-        entries.withColumn("output", F.when(big, F.lit('{"truncated":true}')).otherwise(F.col("output"))).withColumn("domain", F.coalesce(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1), F.lit(""))).write.mode("append").partitionBy("domain").json(os.path.join(self.folder, "operations"))
+        big = F.octet_length("output") > MOST_OUTPUT
+        entries.withColumn("output", F.when(big, F.lit('{"truncated":true}')).otherwise(F.col("output"))).withColumn("domain", F.coalesce(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1), F.lit(""))).write.mode("append").partitionBy("domain").json(f"{self.folder}/operations")

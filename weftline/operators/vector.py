@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 
 #: A fixed namespace, so that point ids stay the same over restarts.
 NAMESPACE = uuid.UUID("6f6b1f0a-2b0e-5b52-9d53-0f5d2c7a9e11")
-#: Queries that are sent to every task at once.
-QUERY_BLOCK = 1024
+#: Bytes of query vectors that are sent to every task at once, and queries that are compared at once.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,38 +29,45 @@ def truncate(vector: Column, dims: int) -> Column:
 
 
 def knn(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows (query_id, key, score): the k points of largest dot product for each query; ties go to the smaller key.
+    """Rows (query_id, key, score, rank): the k points of largest dot product for each query; ties go to the smaller key.
 
-    *queries* (query_id, vector) are collected in blocks of QUERY_BLOCK, a stated
-    query set; each task keeps its own k best of a block, so what is shuffled is
-    tasks x queries x k rows, whatever the number of points.
+    *queries* (query_id, vector) are a stated query set.  As many as QUERY_BYTES
+    hold are sent to every task at once and compared in blocks; points are read
+    once for these, and each task keeps its own k best, so what is shuffled is
+    tasks x queries x k rows, whatever the number of points.  Null vectors take no part.
     """
-    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").collect()]
-    kind = points.schema[key].dataType.simpleString()
+    kind, asked = points.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    some = queries.where(F.col("vector").isNotNull())
+    size = some.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    share = max(1, QUERY_BYTES // (8 * max(1, size["d"] or 1)))
     parts = []
-    for start in range(0, len(ids), QUERY_BLOCK):
-        block = queries.where(F.col("query_id").isin(ids[start : start + QUERY_BLOCK])).select("query_id", "vector").orderBy("query_id").collect()
-        names = np.array([r["query_id"] for r in block])
-        matrix = np.array([r["vector"] for r in block], dtype=np.float64)
-
-        def best(frames: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            held: pd.DataFrame | None = None
+    for block in range(-(-size["n"] // share)):
+        of = some if size["n"] <= share else some.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-size["n"] // share))) == block)
+        rows = sorted(of.select("query_id", "vector").collect())
+        if not rows:
+            continue
+        names = np.array([r["query_id"] for r in rows])
+        sent = points.sparkSession.sparkContext.broadcast((names, np.array([r["vector"] for r in rows], dtype=np.float64)))
+
+        def best(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, matrix = sent.value
+            held: dict[int, pd.DataFrame] = {}
             for pdf in frames:
                 pdf = pdf[pdf["v"].notna()]
                 if not len(pdf):
                     continue
-                scores = np.stack(pdf["v"].to_numpy()).astype(np.float64) @ matrix.T
-                keys = pdf["p"].to_numpy()
-                n = min(k, len(keys))
-                top = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:n]
-                rows = pd.DataFrame({"query_id": np.repeat(names, n), "p": keys[top.T.ravel()], "score": scores[top.T.ravel(), np.repeat(np.arange(len(names)), n)]})
-                held = rows if held is None else pd.concat([held, rows]).sort_values(["query_id", "score", "p"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-            if held is not None:
-                yield held
-
-        parts.append(points.select(F.col(key).alias("p"), F.col(vector).alias("v")).mapInPandas(best, f"query_id long, p {kind}, score double"))
+                own, keys = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["p"].to_numpy()
+                for at in range(0, len(names), QUERY_BLOCK):
+                    scores = own @ matrix[at : at + QUERY_BLOCK].T
+                    n = min(k, len(keys))
+                    top = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:n]
+                    found = pd.DataFrame({"query_id": np.repeat(names[at : at + QUERY_BLOCK], n), "p": keys[top.T.ravel()], "score": scores[top.T.ravel(), np.repeat(np.arange(scores.shape[1]), n)]})
+                    held[at] = found if at not in held else pd.concat([held[at], found]).sort_values(["query_id", "score", "p"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+            yield from held.values()
+
+        parts.append(points.select(F.col(key).alias("p"), F.col(vector).alias("v")).mapInPandas(best, f"query_id {asked}, p {kind}, score double"))
     if not parts:
-        return points.select(F.lit(0).cast("long").alias("query_id"), F.col(key), F.lit(0.0).alias("score")).limit(0)
+        return points.select(F.lit(None).cast(asked).alias("query_id"), F.col(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -98,11 +106,50 @@ def embed_column(df: DataFrame, text: str, out: str = "vector", provider=embed)
 
     @F.pandas_udf("array<float>")
     def run(t: pd.Series) -> pd.Series:
-        return pd.Series(list(provider(t.fillna("").tolist())))
+        return pd.Series(embed_batches(t.fillna("").tolist(), provider))
 
     return df.withColumn(out, run(F.col(text)))
 
 
+class TooLarge(Exception):
+    """A provider's answer to a batch that is too large for it."""
+
+
+class Busy(Exception):
+    """A provider's answer when it should be asked again later."""
+
+
+def embed_batches(texts: list[str], provider, size: int = 96, tries: int = 3, wait: float = 0.2, most_wait: float = 2.0) -> list:
+    """Vectors of texts in their order: batches of *size*; one that is too large is halved, a busy provider asked again after doubling waits.
+
+    A single text that is too large, a provider that stays busy, and an answer of
+    another number of vectors raise.
+    """
+    out: list = []
+    todo = [texts[i : i + size] for i in range(0, len(texts), size)][::-1]
+    while todo:
+        batch = todo.pop()
+        for k in range(tries + 1):
+            try:
+                found = list(provider(batch))
+            except TooLarge:
+                if len(batch) < 2:
+                    raise
+                middle = len(batch) // 2
+                todo += [batch[middle:], batch[:middle]]
+                break
+            except Busy:
+                if k == tries:
+                    raise
+                time.sleep(min(most_wait, wait * 2**k))
+                continue
+            if len(found) != len(batch):
+                raise ValueError(f"{len(found)} vectors for {len(batch)} texts")
+            out += found
+            break
+    return out
+
+
 def query_text(instruction: str, query: Column) -> Column:
     """The form in which instruction-tuned embedders want queries (documents are embedded as they are)."""
     return F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), query)
