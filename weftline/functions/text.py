@@ -82,10 +82,30 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, "\\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
 
 
-def metadata_header(url: Column, title: Column, author: Column, published: Column, language: Column, words: Column) -> Column:
+def challenge_response(status: Column, body: Column, most: int = 15_000) -> Column:
+    """Whether a response is the page of a bot check instead of the page asked for: small, with a title such pages have."""
+    title = F.lower(F.trim(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    known = F.lit(False)
+    for t in CHALLENGE_TITLES:
+        known = known | title.startswith(t)
+    return F.coalesce((F.octet_length(body) <= most) & known, F.lit(False))
+
+
+def slug(text: Column, most: int = 60) -> Column:
+    """Words of letters and digits in lower case joined by hyphens, up to *most* characters."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} ]", " "), " +"), lambda w: w != "")
+    return F.substring(F.array_join(words, "-"), 1, most)
+
+
+def research_key(query: Column, request: Column) -> Column:
+    """The name under which an answer is kept: the query's slug and the first half of a digest of the whole request."""
+    return F.concat(slug(query), F.lit("-"), F.substring(F.sha2(request, 256), 1, 32))
+
+
+def metadata_header(url: Column, title: Column, author: Column, published: Column, language: Column, words: Column, description: Column | None = None) -> Column:
     """Quoted header lines before a text; absent fields are left out."""
     line = lambda name, c: F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f"> {name}: "), c.cast("string")))
-    return F.concat_ws("\n", line("URL", url), line("Title", title), line("Author", author), line("Published", published), line("Language", language), F.when(words > 0, F.concat(F.lit("> Word count: "), words.cast("string"))))
+    return F.concat_ws("\n", line("URL", url), line("Title", title), *([line("Description", description)] if description is not None else []), line("Author", author), line("Published", published), line("Language", language), F.when(words > 0, F.concat(F.lit("> Word count: "), words.cast("string"))))
 
 
 def front_matter(fields: dict[str, Column]) -> Column:

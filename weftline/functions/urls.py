@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Substrings of a lower-cased URL that tell the kind of a site, tried in this order.
 DOMAIN_TYPES: dict[str, list[str]] = {
@@ -99,10 +101,54 @@ def is_public(url: Column) -> Column:
     return F.coalesce(F.lower(part(url, 1)).isin("http", "https") & (h != "") & ~h.rlike(_PRIVATE), F.lit(False))
 
 
+@F.pandas_udf(StringType())
+def url_digest(url: pd.Series) -> pd.Series:
+    """FNV-1a of 64 bits of a URL's bytes, in hexadecimal."""
+
+    def one(u: str) -> str:
+        h = 14695981039346656037
+        for b in u.encode("utf-8", "surrogatepass"):
+            h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+        return f"{h:016x}"
+
+    return url.map(one, na_action="ignore")
+
+
+#: Bytes of a store key without and with the digest that is put behind a longer one.
+KEY_BYTES, KEY_KEPT = 240, 223
+
+
 def store_key(url: Column) -> Column:
-    """Path of a document in the store: host without www. and sanitized path segments; a hash tells queries apart."""
-    clean = lambda c: F.when(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_\-]", "_"), r"^_+|_+$", "") == "", "index").otherwise(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_\-]", "_"), r"^_+|_+$", ""))
-    segments = F.filter(F.split(part(url, 4), "/"), lambda s: s != "")
+    """Path of a document in the store: host without www. and sanitized path segments; a digest of the URL tells queries and long paths apart. Null where there is no host."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_\-]", "_"), r"^_+|_+$", "")
+    clean = lambda c: F.when(bare(c) == "", "index").otherwise(bare(c))
+    segments = F.filter(F.split(part(url, 4), "/"), lambda s: ~s.isin("", ".", ".."))
     path = F.when(F.size(segments) == 0, "index").otherwise(F.array_join(F.transform(segments, clean), "/"))
-    suffix = F.when(part(url, 5) != "", F.concat(F.lit("-"), F.substring(F.sha2(url, 256), 1, 16))).otherwise("")
-    return F.concat(clean(F.regexp_replace(host(url), r"^www\.", "")), F.lit("/"), path, suffix)
+    key = F.concat(store_domain(url), F.lit("/"), path)
+    marked = (part(url, 5) != "") | (F.length(key) > KEY_BYTES)
+    # The digest is made in Python, so only for URLs that need it.
+    return F.when(marked, F.concat(F.substring(key, 1, KEY_KEPT), F.lit("_"), url_digest(F.when(marked, url)))).otherwise(key)
+
+
+def store_domain(url: Column) -> Column:
+    """The host without www. as a name of a folder; null without a host."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(host(url)), r"^www\.", ""), r"[^a-z0-9_\-]", "_"), r"^_+|_+$", "")
+    return F.when(host(url) != "", F.when(name == "", "index").otherwise(name))
+
+
+def store_url(key: Column) -> Column:
+    """The likeliest URL of a store key: the digest goes, underscores of the host become dots; what sanitizing lost stays lost."""
+    path = F.regexp_replace(F.regexp_extract(key, r"^[^/]*/(.*)$", 1), r"_[0-9a-f]{16}$", "")
+    return F.concat(F.lit("https://"), F.replace(F.regexp_extract(key, r"^([^/]*)", 1), F.lit("_"), F.lit(".")), F.lit("/"), F.when(path == "index", "").otherwise(path))
+
+
+def indexable(url: Column) -> Column:
+    """Whether a document's URL may be indexed: public http(s), or a file of this machine."""
+    local = url.rlike(r"(?i)^file://(?:localhost)?/")
+    return F.coalesce(is_public(url) | local, F.lit(False))
+
+
+def within_root(path: Column, root: str) -> Column:
+    """Whether a canonical path is a folder or lies in it; a sibling that begins alike doesn't."""
+    base = root.rstrip("/")
+    return F.coalesce((path == (base or "/")) | path.startswith(base + "/"), F.lit(False)) & ~F.coalesce(path.rlike(r"(?:^|/)\.\.(?:/|$)"), F.lit(False))

@@ -98,6 +98,21 @@ def extract_json(df: DataFrame, key: str, text: str, schema: dict, provider: Pro
     return _ask(df, key, text, work, "data string, error string")
 
 
+def extract_with_prompt(df: DataFrame, key: str, text: str, prompt: str, provider: Provider) -> DataFrame:
+    """Rows (key, data JSON string, error): the JSON that an answer to a free prompt holds; there is no schema and no second try."""
+
+    def judge(answer: str | None) -> tuple[str | None, str | None]:
+        try:
+            return json.dumps(parse_answer(answer), ensure_ascii=False), None
+        except ValueError as e:
+            return None, str(e)[:200]
+
+    def work(texts: list[str | None]) -> pd.DataFrame:
+        return pd.DataFrame([judge(a) for a in provider([f"{prompt}\nReturn JSON only.\n\nContent:\n{t or ''}" for t in texts])], columns=["data", "error"])
+
+    return _ask(df, key, text, work, "data string, error string")
+
+
 def summarize(df: DataFrame, key: str, text: str, provider: Provider, sentences: int = 3) -> DataFrame:
     """Rows (key, summary); null where no provider answers."""
 

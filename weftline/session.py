@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +17,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Bytes of an Arrow batch, beside the bound on its rows.
+BATCH_BYTES = 32 << 20
+
 _SHIPPED: set[str] = set()
 
 
@@ -28,8 +32,10 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers, once per application."""
+    """Make this package importable in the Python workers, once per application, and bound the bytes that these are handed at once."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "2147483647", "2147483647b") or int(re.sub(r"\D", "", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or 0) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.abspath(__file__))
         name = os.path.basename(root)

@@ -183,21 +183,35 @@ def _table(rows: list[list[str]]) -> str:
     return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
 
 
+def _column(reference: str) -> int | None:
+    """Number of a cell's column from its reference, counted from 0."""
+    letters = re.match(r"[A-Z]+", reference or "")
+    n = 0
+    for c in letters.group() if letters else "":
+        n = 26 * n + ord(c) - 64
+    return n - 1 if letters else None
+
+
 def parse_xlsx(data: bytes) -> dict:
+    """Every sheet as a table under its name; cells stand where their references say, blank ones stay blank."""
     z = _archive(data)
-    shared = [" ".join(t for t in e.itertext()) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-    names = [e.get("name") or "" for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"]
+    shared = ["".join(t.text or "" for t in e.iter() if _local(t) == "t") for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+    relations = {e.get("Id"): e.get("Target") or "" for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in z.namelist() else {}
     out = []
-    sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
-    for name, sheet in zip(names, sheets):
+    for k, sheet in enumerate(e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"):
+        own = next((v for a, v in sheet.attrib.items() if a.rsplit("}", 1)[-1] == "id"), None)
+        target = relations.get(own) or f"worksheets/sheet{k + 1}.xml"
+        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         rows = []
-        for row in (e for e in ElementTree.fromstring(z.read(sheet)).iter() if _local(e) == "row"):
-            cells = []
+        for row in (e for e in ElementTree.fromstring(z.read(path)).iter() if _local(e) == "row") if path in z.namelist() else ():
+            cells: dict[int, str] = {}
             for c in (e for e in row if _local(e) == "c"):
-                value = next((e.text or "" for e in c if _local(e) == "v"), "") or "".join(t for e in c if _local(e) == "is" for t in e.itertext())
-                cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
-            rows.append(cells)
-        out.append(f"## Sheet: {name}\n\n{_table(rows)}")
+                value = next((e.text or "" for e in c if _local(e) == "v"), "") or "".join(t.text or "" for e in c if _local(e) == "is" for t in e.iter() if _local(t) == "t")
+                at = _column(c.get("r") or "")
+                cells[len(cells) if at is None else at] = shared[int(value)] if c.get("t") == "s" and value else value
+            if any(cells.values()):
+                rows.append([cells.get(i, "") for i in range(max(cells) + 1)])
+        out.append(f"## Sheet: {sheet.get('name') or ''}\n\n{_table(rows)}")
     return _doc("\n\n".join(out))
 
 
