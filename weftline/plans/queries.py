@@ -39,7 +39,12 @@ def _like(needles: list[str]) -> str:
 
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
-_TYPE = "CASE WHEN url IS NULL THEN NULL " + " ".join(f"WHEN {_like(v)} THEN '{k}'" for k, v in fu.DOMAIN_TYPES.items()) + " ELSE 'generic' END"
+#: The lists in SQL are written out, so that the check shows a wrong one.
+_TYPE = f"""CASE WHEN url IS NULL THEN NULL WHEN {_like(["github.com", "gitlab.com"])} THEN 'git_hub'
+WHEN {_like(["docs.", "readthedocs", "gitbook", "docusaurus", "/docs/", "/documentation/", "devdocs.io", "doc.rust-lang.org", "developer.mozilla.org", "developer.apple.com/documentation"])} THEN 'documentation'
+WHEN {_like(["reddit.com", "news.ycombinator.com", "stackoverflow.com", "stackexchange.com", "discourse", "forum", "community."])} THEN 'forum'
+WHEN {_like(["twitter.com", "x.com", "linkedin.com", "facebook.com", "instagram.com", "mastodon", "bsky.app"])} THEN 'social'
+WHEN {_like(["amazon.", "ebay.", "shopify.", "etsy.com", "/product/", "/shop/", "/cart"])} THEN 'e_commerce' ELSE 'generic' END"""
 
 
 @query(f"SELECT {_TYPE} AS domain_type, source_type, count(*) AS pages, CAST(sum(word_count) AS BIGINT) AS words FROM contents GROUP BY ALL")
@@ -70,20 +75,14 @@ def url_dedup_first_wins(spark, d):
     return rel.first_wins(read(spark, d, "fetch_results"), ["url"], ["fetched_at", "fetch_id"]).select("url", "fetch_id", F.unix_micros("fetched_at").alias("fetched_us"))
 
 
-_LINKS = """WITH l AS (SELECT content_id, url, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS v, links FROM contents),
-o AS (SELECT url, unnest(links).href AS href FROM l WHERE v = 1), n AS (SELECT url, unnest(links).href AS href FROM l WHERE v = 2)"""
-
-
-@query(_LINKS + " SELECT url, 'added' AS change, href FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.url = n.url AND o.href = n.href) UNION ALL SELECT url, 'removed', href FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.url = o.url AND n.href = o.href)")
+@query(
+    """WITH l AS (SELECT url, links, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS v FROM contents WHERE url IS NOT NULL),
+m AS (SELECT url, max(v) AS last FROM l GROUP BY url), e AS (SELECT url, v, unnest(links).href AS href FROM l)
+SELECT url, v AS version, 'added' AS change, href FROM e n WHERE v > 1 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.url = n.url AND o.v = n.v - 1 AND o.href = n.href)
+UNION ALL SELECT o.url, o.v + 1, 'removed', o.href FROM e o JOIN m ON m.url = o.url WHERE o.v < m.last AND NOT EXISTS (SELECT 1 FROM e n WHERE n.url = o.url AND n.v = o.v + 1 AND n.href = o.href)"""
+)
 def links_added_removed(spark, d):
-    w = rel.Window.partitionBy("url").orderBy("fetched_at", "content_id")
-    v = read(spark, d, "contents").select("url", "links", F.row_number().over(w).alias("v"))
-    return rel.link_changes(v.where("v = 1"), v.where("v = 2"), "url")
-
-
-@query()
-def links_added_removed_all(spark, d):
-    return rel.link_history(read(spark, d, "contents"), "url", ["fetched_at", "content_id"])
+    return rel.link_history(read(spark, d, "contents"), "url", ["fetched_at", "content_id"]).withColumn("version", F.col("version").cast("long"))
 
 
 @query("SELECT content_id, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos, unnest(links).text AS text, unnest(links).href AS href FROM contents")
@@ -91,24 +90,14 @@ def page_links(spark, d):
     return rel.links_of(read(spark, d, "contents"), "content_id")
 
 
-_SNAP = "WITH l AS (SELECT url, title, author, language, markdown, word_count, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS v FROM contents WHERE url IS NOT NULL), o AS (SELECT * FROM l WHERE v = 1), n AS (SELECT * FROM l WHERE v = 2) "
-
-
 @query(
-    _SNAP
-    + """, j AS (SELECT coalesce(o.url, n.url) AS url, o.v AS ov, n.v AS nv, coalesce(n.word_count, 0) - coalesce(o.word_count, 0) AS delta,
-concat_ws(',', CASE WHEN o.author IS DISTINCT FROM n.author THEN 'author' END, CASE WHEN o.language IS DISTINCT FROM n.language THEN 'language' END, CASE WHEN o.markdown IS DISTINCT FROM n.markdown THEN 'markdown' END, CASE WHEN o.title IS DISTINCT FROM n.title THEN 'title' END) AS c FROM o FULL JOIN n ON o.url = n.url)
-SELECT url, CASE WHEN ov IS NULL THEN 'New' WHEN nv IS NULL THEN 'Removed' WHEN c <> '' OR delta <> 0 THEN 'Changed' ELSE 'Same' END AS status, delta AS word_count_delta, CASE WHEN ov IS NULL OR nv IS NULL THEN '' ELSE c END AS changed FROM j"""
+    """WITH l AS (SELECT url, title, author, language, markdown, coalesce(word_count, 0) AS words, row_number() OVER w AS v, lag(title) OVER w AS t, lag(author) OVER w AS a, lag(language) OVER w AS g, lag(markdown) OVER w AS m, lag(coalesce(word_count, 0)) OVER w AS o
+FROM contents WHERE url IS NOT NULL WINDOW w AS (PARTITION BY url ORDER BY fetched_at, content_id)),
+c AS (SELECT *, CASE WHEN v = 1 THEN '' ELSE concat_ws(',', CASE WHEN a IS DISTINCT FROM author THEN 'author' END, CASE WHEN g IS DISTINCT FROM language THEN 'language' END, CASE WHEN m IS DISTINCT FROM markdown THEN 'markdown' END, CASE WHEN t IS DISTINCT FROM title THEN 'title' END) END AS changed, words - coalesce(o, 0) AS delta FROM l)
+SELECT url, v AS version, CASE WHEN v = 1 THEN 'New' WHEN changed <> '' OR delta <> 0 THEN 'Changed' ELSE 'Same' END AS status, delta AS word_count_delta, changed FROM c"""
 )
 def snapshot_diff(spark, d):
-    w = rel.Window.partitionBy("url").orderBy("fetched_at", "content_id")
-    v = read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "title", "author", "language", "markdown", "word_count", F.row_number().over(w).alias("v"))
-    return rel.snapshot_status(v.where("v = 1"), v.where("v = 2"), "url", ["title", "author", "language", "markdown"])
-
-
-@query()
-def snapshot_diff_all(spark, d):
-    return rel.snapshot_history(read(spark, d, "contents"), "url", ["fetched_at", "content_id"], ["title", "author", "language", "markdown"])
+    return rel.snapshot_history(read(spark, d, "contents"), "url", ["fetched_at", "content_id"], ["title", "author", "language", "markdown"]).withColumn("version", F.col("version").cast("long"))
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -134,8 +123,7 @@ _TOKENS = r"[x for x in regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L
     + " AS score, CASE WHEN regexp_matches(regexp_replace(url, '\\?.*$', ''), '/(LICENSE|README\\.md|CHANGELOG\\.md|CHANGELOG)$') THEN 2 WHEN regexp_replace(url, '\\?.*$', '') LIKE '%all.html' THEN 1 ELSE 0 END AS penalty FROM (SELECT DISTINCT url, title FROM contents)) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, penalty, strlen(url), url, title LIMIT 20"
 )
 def retrieve_topk(spark, d):
-    best = rel.top_scored(read(spark, d, "contents").select("url", "title").distinct(), "guide of the score column", 100_000_000)
-    return best.orderBy(F.desc("score"), "penalty", F.octet_length("url"), "url", "title").limit(20)
+    return rel.top_scored(read(spark, d, "contents").select("url", "title").distinct(), "guide of the score column", 20)
 
 
 @query(
@@ -159,16 +147,13 @@ def delta_scan(spark, d):
 @query("SELECT point_id, row_id, url, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY indexed_at DESC, row_id DESC) AS r FROM point_payloads) WHERE r = 1")
 def upsert_points(spark, d):
     p = read(spark, d, "point_payloads").select("point_id", "row_id", "url", "chunk_index", F.struct("indexed_at", "row_id").alias("v"))
-    return rel.upsert(p.limit(0), p, "point_id", "v").select("point_id", "row_id", "url", "chunk_index")
+    return rel.upsert(p.where("chunk_index > 0"), p.where("chunk_index = 0"), "point_id", "v").select("point_id", "row_id", "url", "chunk_index")
 
 
-@query("WITH k AS (SELECT DISTINCT url, point_id FROM point_payloads WHERE chunk_index = 0) SELECT row_id FROM point_payloads p WHERE NOT (EXISTS (SELECT 1 FROM k WHERE k.url = p.url) AND NOT EXISTS (SELECT 1 FROM k WHERE k.url = p.url AND k.point_id = p.point_id) AND p.chunk_index > 3)")
+@query("WITH k AS (SELECT DISTINCT url, point_id FROM point_payloads WHERE chunk_index <= 3) SELECT row_id FROM point_payloads p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.url = p.url) OR EXISTS (SELECT 1 FROM k WHERE k.url = p.url AND k.point_id = p.point_id)")
 def delete_stale_points(spark, d):
-    p = read(spark, d, "point_payloads")
-    kept = p.where("chunk_index = 0 or chunk_index <= 3").select("url", "point_id").distinct()
-    touched = p.where("chunk_index = 0").select("url").distinct()
-    stale = p.join(touched, "url", "left_semi").where("chunk_index > 3").join(kept.join(touched, "url", "left_semi"), ["url", "point_id"], "left_anti").select("row_id")
-    return p.select("row_id").join(stale, "row_id", "left_anti")
+    p = read(spark, d, "point_payloads").select("row_id", "url", "point_id", "chunk_index")
+    return rel.without_stale(p, p.where("chunk_index <= 3").select("url", "point_id").distinct(), "url", "point_id").select("row_id")
 
 
 @query("SELECT user_id, event_id, epoch_us(ts) AS ts_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS w FROM events) WHERE u = 1 OR w <= 4")
@@ -200,15 +185,15 @@ def bot_protected(spark, d):
 _WORDS = r"len([x for x in regexp_split_to_array(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+') if x <> ''])"
 
 
-@query(f"SELECT fetch_id, coalesce(contains(html, '<script') AND ((w < 50 AND strlen(html) > 5000) OR (w < 800 AND strlen(html) > 50000 AND ({' OR '.join(f'contains({_LOW}, {chr(39)}{m}{chr(39)})' for m in ft.APP_MARKS)}))), false) AS needs_js FROM (SELECT *, {_WORDS} AS w FROM fetch_results)")
+@query(f"""SELECT fetch_id, coalesce(contains(html, '<script') AND ((w < 50 AND strlen(html) > 5000) OR (w < 800 AND strlen(html) > 50000 AND (contains({_LOW}, 'react-app') OR contains({_LOW}, 'id="__next"') OR contains({_LOW}, 'id="root"') OR contains({_LOW}, 'id="app"') OR contains({_LOW}, '__next_data__') OR contains({_LOW}, 'nuxt') OR contains({_LOW}, 'ng-app')))), false) AS needs_js FROM (SELECT *, {_WORDS} AS w FROM fetch_results)""")
 def needs_js(spark, d):
     return read(spark, d, "fetch_results").select("fetch_id", ft.needs_scripts(ft.word_count(F.regexp_replace("html", r"<[^>]*>", " ")), F.col("html")).alias("needs_js"))
 
 
-@query(r"SELECT fetch_id FROM fetch_results WHERE regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/(guide|help)/[^/]*$') AND NOT regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/.*\-\d\d$')")
+@query(r"SELECT fetch_id FROM fetch_results WHERE regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/(guide|help)/[^/]*$') AND NOT regexp_matches(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/.*-..$')")
 def glob_include_exclude(spark, d):
     path = fu.part(F.col("url"), 4)
-    return read(spark, d, "fetch_results").where(fu.glob_match(path, ["/guide/*", "/help/*"]) & ~path.rlike(r"^/.*\-\d\d$")).select("fetch_id")
+    return read(spark, d, "fetch_results").where(fu.glob_match(path, ["/guide/*", "/help/*"]) & ~fu.glob_match(path, ["/**-??"])).select("fetch_id")
 
 
 @query(r"SELECT content_id, concat_ws(chr(10), '> URL: ' || nullif(url, ''), '> Title: ' || nullif(title, ''), '> Author: ' || nullif(author, ''), '> Published: ' || nullif(published_date, ''), '> Language: ' || nullif(language, ''), CASE WHEN word_count > 0 THEN '> Word count: ' || word_count END) AS header FROM contents")
@@ -275,25 +260,33 @@ def page_chunks(spark, d):
     return chunk.chunk_pages(read(spark, d, "contents"), target=256)
 
 
-@query()
+_C = r"regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$', ['s','h','p','t','q','f'])"
+_CRAWL_FORM = "CASE WHEN {0}.s = '' THEN {1} ELSE lower({0}.s) || '://' || lower({0}.h) || {0}.p || CASE WHEN {0}.t = '' THEN '/' WHEN length({0}.t) > 1 AND {0}.t LIKE '%/' THEN {0}.t[:-2] ELSE {0}.t END || {0}.q END"
+
+
+@query(
+    rf"""WITH p AS (SELECT DISTINCT url, unnest(links).href AS href FROM contents WHERE url IS NOT NULL), x AS (SELECT url, href, {_C.format("url")} AS u, {_C.format("href")} AS h FROM p),
+s AS (SELECT url AS u FROM (SELECT url, max(len(links)) AS n FROM contents WHERE url IS NOT NULL GROUP BY url) ORDER BY n DESC, url LIMIT 1), o AS (SELECT {_C.format("u")} AS o, u AS raw FROM s),
+e AS (SELECT {_CRAWL_FORM.format("x.u", "x.url")} AS a, {_CRAWL_FORM.format("x.h", "x.href")} AS b FROM x, o WHERE lower(h.s) IN ('http', 'https') AND regexp_replace(lower(h.h), '^www\.', '') = regexp_replace(lower(o.o.h), '^www\.', '') AND h.p = o.o.p
+  AND NOT regexp_matches(lower(h.t), '\.(pdf|png|jpg|jpeg|gif|svg|webp|ico|css|js|zip|tar|gz|xml|rss|mp3|mp4|avi|mov|woff|woff2|ttf|eot)$')),
+k AS (SELECT DISTINCT {_CRAWL_FORM.format("c.u", "c.url")} AS a FROM (SELECT url, {_C.format("url")} AS u FROM contents WHERE url IS NOT NULL AND len(links) > 0) c), z AS (SELECT {_CRAWL_FORM.format("o.o", "o.raw")} AS u FROM o),
+r1 AS (SELECT DISTINCT b AS u FROM e, z WHERE e.a = z.u AND z.u IN (SELECT a FROM k) AND b <> z.u), r2 AS (SELECT DISTINCT b AS u FROM e WHERE e.a IN (SELECT u FROM r1) AND b NOT IN (SELECT u FROM r1) AND b NOT IN (SELECT u FROM z))
+SELECT u AS url, depth, u IN (SELECT a FROM k) AS found FROM (SELECT u, 0 AS depth FROM z UNION ALL SELECT u, 1 FROM r1 UNION ALL SELECT u, 2 FROM r2)"""
+)
 def crawl_levels(spark, d):
     pages = read(spark, d, "contents").where(F.col("url").isNotNull())
-    links = pages.select("url", F.explode("links.href").alias("href"))
+    links = pages.select("url", F.posexplode("links.href").alias("pos", "href"))
     start = pages.groupBy("url").agg(F.max(F.size("links")).alias("n")).orderBy(F.desc("n"), "url").first()["url"]
-    return crawl(spark, links, start, max_depth=2, max_pages=200)
+    return crawl(spark, links, start, max_depth=2, max_pages=1_000_000).select("url", F.col("depth").cast("int").alias("depth"), "found")
 
 
-@query("WITH l AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS v FROM contents WHERE url IS NOT NULL) SELECT url, count(*) AS fetch_count FROM l WHERE v <= 2 GROUP BY url")
+@query(
+    """WITH v AS (SELECT url, epoch_us(fetched_at) AS us, title, markdown, row_number() OVER w AS n, lag(title) OVER w AS t, lag(markdown) OVER w AS m FROM contents WHERE url IS NOT NULL WINDOW w AS (PARTITION BY url ORDER BY fetched_at, content_id))
+SELECT url, count(*) AS fetch_count, min(us) AS first_seen, max(us) AS last_fetched, least(100, count(*) FILTER (WHERE n = 1 OR t IS DISTINCT FROM title OR m IS DISTINCT FROM markdown)) AS entries FROM v GROUP BY url"""
+)
 def store_merge(spark, d):
-    w = rel.Window.partitionBy("url").orderBy("fetched_at", "content_id")
-    v = read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "title", "markdown", "fetched_at", F.row_number().over(w).alias("v"))
-    return store.merge(store.merge(None, v.where("v = 1").drop("v")), v.where("v = 2").drop("v")).select("url", "fetch_count")
-
-
-@query()
-def store_merge_all(spark, d):
     pages = read(spark, d, "contents").where(F.col("url").isNotNull()).select("url", "title", "markdown", "fetched_at", "content_id")
-    return store.build(pages, ["fetched_at", "content_id"]).select("url", "fetch_count", "first_seen", "last_fetched", F.size("changelog").alias("entries"))
+    return store.build(pages, ["fetched_at", "content_id"]).select("url", "fetch_count", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_fetched").alias("last_fetched"), F.size("changelog").cast("long").alias("entries"))
 
 
 @query()
@@ -303,8 +296,11 @@ def readable_text(spark, d):
 
 _CSS = r"""WITH c AS (SELECT fetch_id, concat_ws(';', array_to_string(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1), ';'), array_to_string(regexp_extract_all(html, '(?is)\sstyle\s*=\s*"([^"]*)"', 1), ';')) AS css FROM fetch_results),
 d AS (SELECT fetch_id, unnest(regexp_extract_all(css, '(?i)([a-z-]+\s*:\s*[^;{}]+)', 1)) AS x FROM c),
-h AS (SELECT fetch_id, lower(regexp_extract(x, '^([A-Za-z-]+)', 1)) AS property, '#' || lower(regexp_extract(regexp_extract(x, ':\s*(.*)$', 1), '#([0-9a-fA-F]{6})', 1)) AS hex FROM d),
-g AS (SELECT fetch_id, hex, count(*) AS n FROM h WHERE length(hex) = 7 AND hex NOT IN (""" + ", ".join(f"'{c}'" for c in brand.PLAIN_COLOURS) + """) GROUP BY ALL)
+v AS (SELECT fetch_id, regexp_extract(x, ':\s*(.*)$', 1) AS value FROM d),
+h AS (SELECT fetch_id, lower(CASE WHEN regexp_extract(value, '#([0-9a-fA-F]{6})(?:[0-9a-fA-F]{2})?(?:[^0-9a-fA-F]|$)', 1) <> '' THEN regexp_extract(value, '#([0-9a-fA-F]{6})(?:[0-9a-fA-F]{2})?(?:[^0-9a-fA-F]|$)', 1)
+ WHEN regexp_extract(value, '#([0-9a-fA-F]{3})[0-9a-fA-F]?(?:[^0-9a-fA-F]|$)', 1) <> '' THEN regexp_replace(regexp_extract(value, '#([0-9a-fA-F]{3})[0-9a-fA-F]?(?:[^0-9a-fA-F]|$)', 1), '(.)(.)(.)', '\1\1\2\2\3\3')
+ WHEN regexp_matches(value, '(?i)rgba?\(\s*\d') THEN printf('%02x%02x%02x', least(255, regexp_extract(value, '(?i)rgba?\(\s*(\d{1,3})\s*[, ]\s*(\d{1,3})\s*[, ]\s*(\d{1,3})', 1)::INT), least(255, regexp_extract(value, '(?i)rgba?\(\s*(\d{1,3})\s*[, ]\s*(\d{1,3})\s*[, ]\s*(\d{1,3})', 2)::INT), least(255, regexp_extract(value, '(?i)rgba?\(\s*(\d{1,3})\s*[, ]\s*(\d{1,3})\s*[, ]\s*(\d{1,3})', 3)::INT)) END) AS hex FROM v),
+g AS (SELECT fetch_id, '#' || hex AS hex, count(*) AS n FROM h WHERE length(hex) = 6 AND hex NOT IN ('ffffff', '000000', 'f8f8f8', 'f5f5f5', 'eeeeee', 'e5e5e5', 'dddddd', 'd4d4d4', 'cccccc', 'bbbbbb', 'aaaaaa', '999999', '888888', '777777', '666666', '555555', '444444', '333333', '222222', '111111', 'f0f0f0', 'e0e0e0', 'd0d0d0', 'c0c0c0', 'b0b0b0', 'a0a0a0', '909090', '808080', '707070', '606060', '505050', '404040', '303030', '202020', '101010', 'fafafa', 'f9f9f9', 'f7f7f7', 'f4f4f4', 'f3f3f3', 'f2f2f2', 'f1f1f1', 'efefef', 'ebebeb', 'e8e8e8') GROUP BY ALL)
 SELECT fetch_id, hex, n AS count, rank FROM (SELECT *, row_number() OVER (PARTITION BY fetch_id ORDER BY n DESC, hex) AS rank FROM g) WHERE rank <= 10"""
 
 
@@ -318,3 +314,8 @@ def brand_colours(spark, d):
 def event_properties(spark, d):
     page = F.try_variant_get(F.try_parse_json("props"), "$.page", "string")
     return read(spark, d, "events").groupBy("user_id", page.alias("page")).agg(F.count("*").alias("n"))
+
+
+# Names under which the forms over all versions were first registered.
+for _name in ("links_added_removed", "snapshot_diff", "store_merge"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
