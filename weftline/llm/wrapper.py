@@ -17,17 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import runs, stored
 from .markup import Node, _BLOCKS, parse
 
-#: A longer line without the site's name and without a link is prose whatever its support.
-LONGEST_LABEL = 300
 #: A template node is on at least so many pages (with different titles) of its host, and so large a part of them.
 HOST_PAGES, HOST_SHARE = 3, 0.012
 #: The same for a node that reads as sentences without the site's name, which copies of a page share too.
 PROSE_PAGES, PROSE_SHARE = 8, 0.04
-#: A node of the shared template is on pages of at least so many hosts, and on so many pages or so large a part of all.
-SHARED_HOSTS, SHARED_PAGES, SHARED_SHARE = 3, 6, 0.0004
+#: A node of the shared template is on pages of at least so many hosts, on so many pages, and on so large a part of the pages of the hosts that have it.
+SHARED_HOSTS, SHARED_PAGES, SHARED_SHARE = 3, 6, 0.012
+#: The same for sentences: so many hosts and so many different titles, which copies of a page don't reach.
+SHARED_PROSE = 8
+#: A title that so many different pages of a host have, and so large a part of them, is the site's and doesn't tell copies.
+TITLE_PAGES, TITLE_SHARE = 8, 0.2
 
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\(([^()\s]*)[^()]*\)")
 _PURE_LINK = re.compile(r"^(?:[-*+]|\d+[.)])[ \t]+\**\[([^\[\]]*)\]\(([^()\s]*)[^()]*\)\**[ \t]*$")
@@ -61,7 +63,7 @@ class Labeller:
             return []  # tables, formulas and left-over markup are content
         pure = _PURE_LINK.match(raw)
         if pure:
-            return ["link " + re.sub(r"\d+", "0", pure.group(2).lower())[:80], "menu " + self._mask(pure.group(1))[1]]
+            return ["link " + re.sub(r"\d+", "0", pure.group(2).lower()), "menu " + self._mask(pure.group(1))[1]]
         head = _HEAD.match(raw)
         if head and len(head.group(1)) == 1:
             return []
@@ -76,8 +78,6 @@ class Labeller:
         links = len(_LINK.findall(text))
         flat, masked = self._mask(_LINK.sub(lambda m: "⟦L⟧" + m.group(1), text))
         has_site = "⟦s⟧" in masked
-        if len(raw) > LONGEST_LABEL and not has_site and not links:
-            return []
         if head or bold:
             return (["head " + flat] if "0" not in masked.split() else []) + (["line " + masked] if has_site else [])
         tokens = masked.split()
@@ -156,21 +156,21 @@ def _host(url: str | None) -> str:
 
 
 def labelled(df: DataFrame, key: str, url: str, text: str) -> DataFrame:
-    """Rows (_key, line_no, _host, _page, _labels): hashes of host, page and labels for every line that can be furniture."""
+    """Rows (_key, line_no, _host, _page, _body, _labels): hashes of host, title, text and labels for every line that can be furniture."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in (x for whole in frames for x in runs(whole, "_text")):
             rows = []
             for k, u, t in zip(pdf["_key"], pdf["_url"], pdf["_text"]):
                 if t:
                     host = _host(u)
                     page, lines = page_labels(t, host)
-                    hosts, pages = _int64(host), _int64(page)
-                    rows += [(k, i, hosts, pages, [label_id(x) for x in labels]) for i, labels in lines]
-            yield pd.DataFrame(rows, columns=["_key", "line_no", "_host", "_page", "_labels"])
+                    hosts, pages, body = _int64(host), _int64(page), _int64(t)
+                    rows += [(k, i, hosts, pages, body, [label_id(x) for x in labels]) for i, labels in lines]
+            yield pd.DataFrame(rows, columns=["_key", "line_no", "_host", "_page", "_body", "_labels"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(text).alias("_text")).mapInPandas(run, f"_key {kind}, line_no int, _host long, _page long, _labels array<long>")
+    return df.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(text).alias("_text")).mapInPandas(run, f"_key {kind}, line_no int, _host long, _page long, _body long, _labels array<long>")
 
 
 def furniture(df: DataFrame, key: str = "content_id", url: str = "url", text: str = "markdown") -> DataFrame:
@@ -178,17 +178,24 @@ def furniture(df: DataFrame, key: str = "content_id", url: str = "url", text: st
 
     Lines are split at LF and counted from 0.  Null and empty texts have none.  A
     null or unreadable URL puts a page on a host without name.  Copies of a page
-    (the same title) count once, so that copying makes no template.  Extra columns
+    (the same title, unless it is the site's) count once, so that copying makes no template.  Extra columns
     are ignored.
     """
     lines = stored(labelled(df, key, url, text), "labels")
+    # Copies of a page have its title; where many pages of a host have one title, their texts tell them apart.
+    bodies = lines.select("_host", "_page", "_body").distinct().groupBy("_host", "_page").agg(F.count("*").alias("_c"))
+    named = bodies.join(bodies.groupBy("_host").agg(F.sum("_c").alias("_all")), "_host").where((F.col("_c") >= TITLE_PAGES) & (F.col("_c") >= TITLE_SHARE * F.col("_all"))).select("_host", "_page", F.lit(True).alias("_named"))
+    lines = lines.join(named, ["_host", "_page"], "left").withColumn("_page", F.when(F.col("_named"), F.col("_body")).otherwise(F.col("_page"))).drop("_named", "_body")
     pages = lines.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
-    support = lines.select("_host", "_page", F.explode("_labels").alias("_label")).distinct().groupBy("_host", "_label").agg(F.count("*").alias("_n"))
-    support = stored(support, "support")
-    total = pages.agg(F.sum("_pages")).first()[0] or 0
+    shown = lines.select("_host", "_page", F.explode("_labels").alias("_label"))
+    support = stored(shown.distinct().groupBy("_host", "_label").agg(F.count("*").alias("_n")).join(pages, "_host"), "support")
     prose = F.col("_label").bitwiseAND(F.lit(1)) == 1
-    shared = support.where(~prose).groupBy("_label").agg(F.sum("_n").alias("_n"), F.count("*").alias("_hosts")).where((F.col("_hosts") >= SHARED_HOSTS) & (F.col("_n") >= max(SHARED_PAGES, SHARED_SHARE * total))).select("_label")
-    own = support.join(pages, "_host").where(F.when(prose, (F.col("_n") >= PROSE_PAGES) & (F.col("_n") >= PROSE_SHARE * F.col("_pages"))).otherwise((F.col("_n") >= HOST_PAGES) & (F.col("_n") >= HOST_SHARE * F.col("_pages")))).select("_host", "_label")
+    common = support.groupBy("_label").agg(F.sum("_n").alias("_n"), F.count("*").alias("_hosts"), F.sum("_pages").alias("_pages"))
+    shared = common.where(~prose & (F.col("_hosts") >= SHARED_HOSTS) & (F.col("_n") >= SHARED_PAGES) & (F.col("_n") >= SHARED_SHARE * F.col("_pages"))).select("_label")
+    wide = common.where(prose & (F.col("_hosts") >= SHARED_PROSE)).select("_label")
+    titles = shown.where(prose).join(wide, "_label", "left_semi").select("_label", "_page").distinct().groupBy("_label").agg(F.count("*").alias("_n"))
+    shared = shared.unionByName(titles.where(F.col("_n") >= SHARED_PROSE).select("_label"))
+    own = support.where(F.when(prose, (F.col("_n") >= PROSE_PAGES) & (F.col("_n") >= PROSE_SHARE * F.col("_pages"))).otherwise((F.col("_n") >= HOST_PAGES) & (F.col("_n") >= HOST_SHARE * F.col("_pages")))).select("_host", "_label")
     labels = lines.select("_key", "line_no", "_host", F.explode("_labels").alias("_label"))
     found = labels.join(own, ["_host", "_label"], "left_semi").unionByName(labels.join(shared, "_label", "left_semi"))
     return found.select(F.col("_key").alias(key), "line_no").distinct()
