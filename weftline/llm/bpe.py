@@ -26,6 +26,8 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0
 
 #: Words kept in the cache of one Python worker; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
+#: Checked pairs kept likewise.
+CACHE_PAIRS = 4_000_000
 
 
 def tokenizer_dir() -> str:
@@ -56,8 +58,8 @@ class SpeculativeBPE:
         for token in self.ranks:
             head = token[:2]
             self.longest[head] = max(self.longest.get(head, 1), len(token))
-        self.good: set[int] = set()
-        self.bad: set[int] = set()
+        # Pairs of tokens that were checked, sorted, and whether they stay as they are.
+        self.pairs, self.stays = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         # A vocabulary entry that its own merges cannot reach must never be proposed.
         self.reachable: dict[int, bool] = {}
         self._reset()
@@ -113,14 +115,20 @@ class SpeculativeBPE:
             i = ends[i]
         return out
 
-    def _compatible(self, pair: int) -> bool:
-        if pair in self.good:
-            return True
-        if pair in self.bad:
-            return False
-        a, b = pair >> 20, pair & 0xFFFFF
-        ok = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        (self.good if ok else self.bad).add(pair)
+    def compatible(self, pairs: np.ndarray) -> np.ndarray:
+        """For sorted distinct pairs of tokens whether encoding their concatenation gives the two back; all at once where known, new ones are merged."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
+        known = self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), dtype=bool)
+        ok = self.stays[at] & known if len(self.pairs) else np.zeros(len(pairs), dtype=bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            text = self.bytes_of
+            ok[new] = [self.merge(text[a] + text[b]) == [a, b] for a, b in zip((pairs[new] >> 20).tolist(), (pairs[new] & 0xFFFFF).tolist())]
+            if len(self.pairs) > CACHE_PAIRS:
+                self.pairs, self.stays = self.pairs[:0], self.stays[:0]
+            self.pairs, self.stays = np.concatenate([self.pairs, pairs[new]]), np.concatenate([self.stays, ok[new]])
+            order = np.argsort(self.pairs, kind="stable")
+            self.pairs, self.stays = self.pairs[order], self.stays[order]
         return ok
 
     def _learn(self, new: list[str]) -> None:
@@ -133,7 +141,7 @@ class SpeculativeBPE:
         pairs = (flat[:-1] << 20) | flat[1:]
         inside = word[:-1] == word[1:]
         uniq, back = np.unique(pairs[inside], return_inverse=True)
-        ok = np.fromiter((self._compatible(int(p)) for p in uniq), bool, len(uniq))
+        ok = self.compatible(uniq)
         for k in np.unique(word[:-1][inside][~ok[back]]) if len(uniq) else ():
             proposed[k] = self.merge(raw[k])
         lens = np.fromiter(map(len, proposed), np.int32, len(proposed))

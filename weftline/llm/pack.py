@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import counter, slices, stored
 
-#: A size value may be that of a third of all documents; its ranking is spread over so many groups.
-RANK_GROUPS = 64
+#: A size value may be that of a third of all documents; its ranking is spread over so many groups at least and at most, as many as give a group this number of items.
+RANK_GROUPS, MOST_GROUPS, GROUP_ITEMS = 64, 1024, 1_000_000
 
 
 def sized(df: DataFrame, key: str, text: str, capacity: int, vocabulary: str | None = None) -> DataFrame:
@@ -131,8 +131,10 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    items = stored(sized(df, key, text, capacity, vocabulary).withColumn("_group", F.pmod(F.xxhash64("_key", "piece"), F.lit(RANK_GROUPS)).cast("int")), "sizes")
-    cells = {(r["size"], r["_group"]): r["n"] for r in items.groupBy("size", "_group").agg(F.count("*").alias("n")).collect()}  # at most capacity x RANK_GROUPS
+    items = stored(sized(df, key, text, capacity, vocabulary), "sizes")
+    groups = min(MOST_GROUPS, max(RANK_GROUPS, items.count() // GROUP_ITEMS))
+    items = items.withColumn("_group", F.pmod(F.xxhash64("_key", "piece"), F.lit(groups)).cast("int"))
+    cells = {(r["size"], r["_group"]): r["n"] for r in items.groupBy("size", "_group").agg(F.count("*").alias("n")).collect()}  # at most capacity x MOST_GROUPS
     counts: dict[int, int] = {}
     offset: dict[tuple[int, int], int] = {}
     for (size, group), n in sorted(cells.items()):

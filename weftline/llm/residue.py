@@ -139,6 +139,7 @@ class Phrases:
         parsed = _parser.parse(pattern, re.I)
         self.whole = re.compile(pattern, re.I)
         self.strings = needed(parsed)
+        self.wide = bool(self.strings) and not any(x.isascii() for x in self.strings)
         self.finder = ahocorasick.Automaton() if self.strings else None
         for x in self.strings or ():
             self.finder.add_word(x, x)
@@ -153,7 +154,12 @@ class Phrases:
 
     def possible(self, text: str) -> bool:
         """Whether the text holds a string that a match needs; it never denies a match."""
-        if self.finder is None or not text.isascii() and self.FOLDED.search(text):
+        if self.finder is None:
+            return True
+        if text.isascii():
+            if self.wide:
+                return False
+        elif self.FOLDED.search(text):
             return True
         return next(self.finder.iter(text.lower()), None) is not None
 
