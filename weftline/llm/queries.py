@@ -62,6 +62,11 @@ def p4_estimates(spark: SparkSession, d: str) -> DataFrame:
     return token_estimates(table(spark, d, "point_payloads"), table(spark, d, "language_tags"))
 
 
+def p4_budget_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The slices of the budget and their rows, which SQL can count."""
+    return p4_budget(spark, d).select("source_type", "language", "domain", "rows")
+
+
 _MARKUP = {"contents": ("content_id", {"markdown": False, "plain_text": True}), "point_payloads": ("row_id", {"text": False})}
 
 
@@ -121,7 +126,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(p10_scored(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p4_estimates, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p7_found, p7_groups, p7_group_chunks, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p4_budget_rows, p4_estimates, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p7_found, p7_groups, p7_group_chunks, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
 
 _REPEATED = """
 WITH lines AS (
@@ -131,6 +136,20 @@ WITH lines AS (
 ), frequent AS (SELECT d, k FROM lines WHERE length(k) >= 15 GROUP BY d, k HAVING count(DISTINCT url) >= 5)
 """
 
+_OCCURRENCES = _REPEATED + ", occurrences AS (SELECT row_id, line_no FROM lines JOIN frequent USING (d, k))"
+
 SQL: dict[str, str] = {
     "p3_found": _REPEATED + "SELECT row_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN frequent USING (d, k)",
+    "p3_clean": _OCCURRENCES
+    + """, gone AS (SELECT row_id, count(*) AS n FROM occurrences GROUP BY row_id), whole AS (SELECT row_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM point_payloads),
+kept AS (SELECT row_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM whole w WHERE NOT EXISTS (SELECT 1 FROM occurrences o WHERE o.row_id = w.row_id AND o.line_no = w.line_no) GROUP BY row_id)
+SELECT p.row_id, CASE WHEN g.n IS NULL THEN p.text ELSE coalesce(k.text, '') END AS text, CAST(coalesce(g.n, 0) AS INTEGER) AS removed FROM point_payloads p LEFT JOIN gone g ON g.row_id = p.row_id LEFT JOIN kept k ON k.row_id = p.row_id""",
+    "p7_found": r"""
+WITH words AS (SELECT content_id, regexp_extract_all(regexp_replace(lower(markdown), '([\x{3041}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM contents WHERE markdown <> ''),
+grams AS (SELECT DISTINCT content_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM words WHERE len(w) >= 3),
+sizes AS (SELECT content_id, count(*) AS n FROM grams GROUP BY content_id),
+met AS (SELECT a.content_id AS x, b.content_id AS y, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.content_id < b.content_id GROUP BY 1, 2)
+SELECT x AS content_id_a, y AS content_id_b FROM met JOIN sizes s ON s.content_id = x JOIN sizes t ON t.content_id = y WHERE shared >= 0.6 * (s.n + t.n - shared)""",
+    "p4_budget_rows": """
+SELECT lower(source_type) AS source_type, coalesce(t.lang, 'unknown') AS language, lower(domain) AS domain, count(*) AS rows FROM point_payloads p LEFT JOIN (SELECT tag, min(lang) AS lang FROM language_tags WHERE tag IS NOT NULL AND lang IS NOT NULL GROUP BY tag) t ON t.tag = p.language GROUP BY 1, 2, 3""",
 }
