@@ -1,16 +1,19 @@
 """Problem 6: the furniture of sites told from the main body of pages by wrapper induction.
 
-A page is a shallow tree of blocks and lines.  Nodes of the pages of one host are
-aligned by their labels: a label is the node's text with what varies between
-pages (numbers, link targets, names, the page's own title, the site's name) made
-slots.  Nodes that are constant over the host's pages are its template; where a
-host has too few pages, the template that hosts share decides.
+A page is a shallow tree of blocks and lines.  Labels of a line are its text with
+what varies between pages (numbers, link targets, names, the page's own title, the
+site's name) made slots.  Lines whose labels are constant over enough pages of a
+host, or over hosts, are nodes of its template.  The wrapper of a host is a few of its
+pages, so chosen that every node of the template is in one; a page is aligned with
+them by simple tree matching, and the lines that are aligned with nodes of the
+template are furniture.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import xxhash
@@ -30,6 +33,8 @@ SHARED_HOSTS, SHARED_PAGES, SHARED_SHARE = 3, 6, 0.012
 SHARED_PROSE = 8
 #: A title that so many different pages of a host have, and so large a part of them, is the site's and doesn't tell copies.
 TITLE_PAGES, TITLE_SHARE = 8, 0.2
+#: Pages of a host that are aligned in one go, after its representatives.
+PART_PAGES = 5_000
 
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\(([^()\s]*)[^()]*\)")
 _PURE_LINK = re.compile(r"^(?:[-*+]|\d+[.)])[ \t]+\**\[([^\[\]]*)\]\(([^()\s]*)[^()]*\)\**[ \t]*$")
@@ -124,19 +129,21 @@ def page_title(lines: list[str]) -> str | None:
     return None
 
 
-def page_labels(text: str, host: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
-    """The key under which copies of a page count once, and (line number, labels) of the lines that can be furniture."""
+def page_labels(text: str, host: str | None) -> tuple[str, list[tuple[int, int, list[str]]]]:
+    """The key under which copies of a page count once, and (line number, block number, labels) of the lines that can be furniture."""
     lines = text.split("\n")
     title = page_title(lines)
     own = Labeller(host, title)
-    out, fence = [], None
+    out, fence, block = [], None, 0
     for i, line in enumerate(lines):
+        if not line or line.isspace():
+            block += 1
         start = line.lstrip()[:3]
         if start in ("```", "~~~"):
             fence = None if fence == start else fence or start
             continue
         if fence is None and (labels := own.labels(line)):
-            out.append((i, labels))
+            out.append((i, block, labels))
     return title or max(lines, key=len), out
 
 
@@ -156,7 +163,7 @@ def _host(url: str | None) -> str:
 
 
 def labelled(df: DataFrame, key: str, url: str, text: str) -> DataFrame:
-    """Rows (_key, line_no, _host, _page, _body, _labels): hashes of host, title, text and labels for every line that can be furniture."""
+    """Rows (_key, line_no, _block, _host, _page, _body, _labels): number of the block, hashes of host, title, text and labels for every line that can be furniture."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (x for whole in frames for x in runs(whole, "_text")):
@@ -166,11 +173,11 @@ def labelled(df: DataFrame, key: str, url: str, text: str) -> DataFrame:
                     host = _host(u)
                     page, lines = page_labels(t, host)
                     hosts, pages, body = _int64(host), _int64(page), _int64(t)
-                    rows += [(k, i, hosts, pages, body, [label_id(x) for x in labels]) for i, labels in lines]
-            yield pd.DataFrame(rows, columns=["_key", "line_no", "_host", "_page", "_body", "_labels"])
+                    rows += [(k, i, b, hosts, pages, body, [label_id(x) for x in labels]) for i, b, labels in lines]
+            yield pd.DataFrame(rows, columns=["_key", "line_no", "_block", "_host", "_page", "_body", "_labels"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(text).alias("_text")).mapInPandas(run, f"_key {kind}, line_no int, _host long, _page long, _body long, _labels array<long>")
+    return df.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(text).alias("_text")).mapInPandas(run, f"_key {kind}, line_no int, _block int, _host long, _page long, _body long, _labels array<long>")
 
 
 def furniture(df: DataFrame, key: str = "content_id", url: str = "url", text: str = "markdown") -> DataFrame:
@@ -196,9 +203,134 @@ def furniture(df: DataFrame, key: str = "content_id", url: str = "url", text: st
     titles = shown.where(prose).join(wide, "_label", "left_semi").select("_label", "_page").distinct().groupBy("_label").agg(F.count("*").alias("_n"))
     shared = shared.unionByName(titles.where(F.col("_n") >= SHARED_PROSE).select("_label"))
     own = support.where(F.when(prose, (F.col("_n") >= PROSE_PAGES) & (F.col("_n") >= PROSE_SHARE * F.col("_pages"))).otherwise((F.col("_n") >= HOST_PAGES) & (F.col("_n") >= HOST_SHARE * F.col("_pages")))).select("_host", "_label")
-    labels = lines.select("_key", "line_no", "_host", F.explode("_labels").alias("_label"))
-    found = labels.join(own, ["_host", "_label"], "left_semi").unionByName(labels.join(shared, "_label", "left_semi"))
-    return found.select(F.col("_key").alias(key), "line_no").distinct()
+    labels = lines.select("_key", "line_no", "_block", "_host", F.explode("_labels").alias("_label"))
+    nodes = labels.join(own, ["_host", "_label"], "left_semi").unionByName(labels.join(shared, "_label", "left_semi"))
+    return aligned(nodes, df.schema[key].dataType.simpleString()).select(F.col("_key").alias(key), "line_no")
+
+
+Tree = list[list[tuple[int, frozenset[int]]]]  # blocks of (line number, labels)
+
+
+def _heaviest(n: int, m: int, weight: Callable[[int, int], float]) -> tuple[float, list[tuple[int, int]]]:
+    """The heaviest matching of two sequences that keeps their order, and its pairs."""
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        above, row = best[i], best[i + 1]
+        for j in range(m):
+            w = weight(i, j)
+            row[j + 1] = max(above[j + 1], row[j], above[j] + w if w else 0.0)
+    pairs, i, j = [], n, m
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return best[n][m], pairs[::-1]
+
+
+def tree_matching(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """Simple tree matching of two pages: the pairs of line numbers of a largest alignment that keeps the order of blocks and, within blocks, of lines. Lines match if they share a label."""
+    inner: dict[tuple[int, int], tuple[float, list[tuple[int, int]]]] = {}
+    mine, other = ([frozenset().union(*(labels for _, labels in block)) for block in t] for t in (a, b))
+
+    def blocks(x: int, y: int) -> float:
+        if mine[x].isdisjoint(other[y]):
+            return 0.0
+        if (x, y) not in inner:
+            inner[x, y] = _heaviest(len(a[x]), len(b[y]), lambda i, j: 0.0 if a[x][i][1].isdisjoint(b[y][j][1]) else 1.0)
+        return inner[x, y][0]
+
+    _, pairs = _heaviest(len(a), len(b), blocks)
+    return [(a[x][i][0], b[y][j][0]) for x, y in pairs for i, j in inner[x, y][1]]
+
+
+class Wrapper:
+    """The representatives of a host, and which of them stands for a label."""
+
+    def __init__(self) -> None:
+        self.trees: list[Tree] = []
+        self.cover: dict[int, int] = {}
+
+    def add(self, tree: Tree, labels: list[int]) -> None:
+        for x in labels:
+            self.cover.setdefault(x, len(self.trees))
+        self.trees.append(tree)
+
+    def furniture(self, page: Tree) -> list[int]:
+        """Lines of a page that are aligned with the template.
+
+        The page is aligned with the representative that stands for most of its
+        labels; what is left, such as moved blocks and further items of a list, is
+        aligned again in the same way, until no representative takes any of it.
+        """
+        left = {i: labels for block in page for i, labels in block}
+        found: list[int] = []
+        done: set[int] = set()
+        while left:
+            stands = Counter(self.cover[x] for labels in left.values() for x in labels if x in self.cover)
+            rest = [(-n, k) for k, n in stands.items() if k not in done]
+            if not rest:
+                break
+            k = min(rest)[1]
+            taken = tree_matching(page, self.trees[k])
+            if not taken:
+                done.add(k)
+                continue
+            for i, _ in taken:
+                found.append(i)
+                del left[i]
+            page = [kept for block in page if (kept := [n for n in block if n[0] in left])]
+        return found
+
+
+def _tree(nodes: Iterable[dict]) -> Tree:
+    lines: dict[tuple[int, int], set[int]] = {}
+    for n in nodes:
+        lines.setdefault((n["_block"], n["line_no"]), set()).add(n["_label"])
+    out: Tree = []
+    last = None
+    for (block, line), labels in sorted(lines.items()):
+        if block != last:
+            out.append([])
+            last = block
+        out[-1].append((line, frozenset(labels)))
+    return out
+
+
+def aligned(nodes: DataFrame, kind: str) -> DataFrame:
+    """Rows (_key, line_no): lines of template nodes (_key, line_no, _block, _host, _label) that tree matching aligns with their host's wrapper.
+
+    The representative of a label is the page that holds it with the smallest hash,
+    so a host has as many as its template needs, whatever the number of its pages.
+    Pages of a large host are spread, with its representatives before each part.
+    """
+    nodes = stored(nodes, "nodes")
+    pages = nodes.groupBy("_host", "_key").agg(F.collect_set(F.struct("line_no", "_block", "_label")).alias("_nodes"))  # bounded by one page
+    stands = nodes.groupBy("_host", "_label").agg(F.min(F.struct(F.xxhash64("_key").alias("h"), "_key")).alias("m"))
+    chosen = stands.groupBy("_host", F.col("m._key").alias("_key")).agg(F.collect_list("_label").alias("_stands"))  # bounded by one page's labels
+    parts = pages.groupBy("_host").agg(F.ceil(F.count("*") / PART_PAGES).cast("int").alias("_parts"))
+    whole = stored(pages.join(chosen, ["_host", "_key"], "left").join(parts, "_host"), "trees")
+    each = whole.select("_host", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int").alias("_part"), F.lit(1).alias("_kind"), "_key", "_nodes", F.lit(None).cast("array<bigint>").alias("_stands"))
+    before = whole.where(F.col("_stands").isNotNull()).select("_host", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), "_key", "_nodes", "_stands")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, Wrapper()
+        for pdf in frames:
+            rows = []
+            for h, p, what, k, n, stands in zip(pdf["_host"], pdf["_part"], pdf["_kind"], pdf["_key"], pdf["_nodes"], pdf["_stands"]):
+                if (h, p) != at:
+                    at, own = (h, p), Wrapper()
+                if what == 0:
+                    own.add(_tree(n), [int(x) for x in stands])
+                else:
+                    rows += [(k, i) for i in own.furniture(_tree(n))]
+            yield pd.DataFrame(rows, columns=["_key", "line_no"])
+
+    both = before.unionByName(each).repartition("_host", "_part").sortWithinPartitions("_host", "_part", "_kind", "_key")
+    return both.mapInPandas(run, f"_key {kind}, line_no int")
 
 
 def html_lines(html: str) -> str:
