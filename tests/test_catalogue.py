@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as ft
 from weftline.functions import urls as fu
-from weftline.operators import brand, catalogue, crawl, extract, models, site_pages, store, vector, verticals
-from weftline.sources import discover, parsers
+from weftline.operators import brand, catalogue, chunk, crawl, extract, models, site_pages, store, vector, verticals
+from weftline.sources import discover, fetch, parsers
 from weftline.streaming import events
 
 
@@ -224,3 +224,43 @@ def test_debounced_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["path"], r["kind"]) for r in spark.sql("select * from quiet").collect()}
     assert ("f", "modify") in got and ("f", "create") not in got
+
+
+def test_responses_are_read_by_their_route_and_stored(spark, tmp_path):
+    pdf = b"%PDF-1.4\n1 0 obj << /Type /Page >> stream\nBT (Hello) Tj 0 -12 Td (World) Tj ET\nendstream"
+    bodies = {"https://e.com/p": b"<title>T</title><main><h1>Head</h1><p>Some text of the page that is read.</p></main>", "https://e.com/f.pdf": pdf, "https://api.e.com/x.json": b'{"a": 1}'}
+
+    def transport(url):
+        return (200, bodies[url]) if url in bodies else (404, None)
+
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    got = {r["url"]: r for r in fetch.ingest(spark.createDataFrame([(u,) for u in [*bodies, "https://e.com/gone"]], "url string"), transport, s).collect()}
+    assert "# Head" in got["https://e.com/p"]["markdown"] and got["https://e.com/f.pdf"]["markdown"] == "Hello\nWorld" and got["https://api.e.com/x.json"]["record"] == '{"a": 1}'
+    assert got["https://e.com/gone"]["error"] == "status 404" and {r["url"] for r in s.read().collect()} == {"https://e.com/p", "https://e.com/f.pdf"}
+    routes = spark.createDataFrame([("https://github.com/a/b", "application/json"), ("https://www.etsy.com/listing/1", "text/html"), ("https://e.com/", None)], "u string, t string").select(fetch.route(F.col("u"), F.col("t"))).collect()
+    assert [r[0] for r in routes] == ["vertical:github_repo", "page:etsy_listing", "html"]
+
+
+def test_pdf_maps_to_unicode():
+    cmap = b"stream\n1 beginbfchar <0003> <0041> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange\nendstream"
+    body = b"stream\nBT [<00030010> -300 <0011>] TJ T* (\\101\\)) Tj ET\nendstream"
+    assert parsers.parse_file("x.pdf", b"%PDF-1.5 " + body)["plain_text"].endswith("A)")
+    assert parsers.parse_file("x.pdf", b"%PDF-1.5 " + cmap + body)["plain_text"].startswith("Aa b")
+
+
+def test_chunks_by_tokens():
+    text = "\n\n".join(" ".join(["supercalifragilistic"] * 30) for _ in range(6)) + "\n\n" + "x" * 50
+    size = lambda t: len(t) // 4
+    made = chunk.chunks(text, target=100, overlap=0, least=1, size=size)
+    assert all(size(b) <= 110 for _, b, _ in made) and sum(len(b.split()) for _, b, _ in made) >= 181
+
+
+def test_page_types_and_formats(spark):
+    df = spark.createDataFrame([("https://e.com/", "<ARTICLE>"), ("https://e.com/", "<div id=docsearch>"), ("https://github.com/", "<article>"), (None, None)], "u string, h string")
+    assert [r[0] for r in df.select(fu.page_type(F.col("u"), F.col("h"))).collect()] == ["article", "documentation", "git_hub", "generic"]
+    row = spark.createDataFrame([("T", "u", "# m", "m", '{"a":1}')], "t string, u string, m string, p string, d string")
+    c = F.col
+    got = row.select(ft.projection("markdown", c("t"), c("u"), c("m"), c("p"), data=c("d")), ft.projection("llm", c("t"), c("u"), c("m"), c("p")), ft.projection("json", c("t"), c("u"), c("m"), c("p"))).first()
+    assert got[0].endswith('```json\n{"a":1}\n```') and got[1].startswith("> URL: u\n> Title: T") and json.loads(got[2])["markdown"] == "# m"
+    with pytest.raises(ValueError):
+        ft.projection("odd", c("t"), c("u"), c("m"), c("p"))

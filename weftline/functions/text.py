@@ -123,3 +123,20 @@ def sitemaps_of_robots(robots: Column) -> Column:
     lines = F.transform(F.split(robots, r"\r\n|\r|\n"), lambda s: F.trim(F.regexp_replace(s, r"#.*$", "")))
     urls = F.transform(F.filter(lines, lambda s: s.rlike(r"(?i)^sitemap\s*:")), lambda s: F.trim(F.regexp_replace(s, r"(?i)^sitemap\s*:\s*", "")))
     return F.filter(urls, lambda u: u.rlike(r"^https?://[^/?#]+"))
+
+
+def projection(form: str, title: Column, url: Column, markdown: Column, plain: Column, readable: Column | None = None, html: Column | None = None, data: Column | None = None) -> Column:
+    """A document in one output format: markdown (with front matter, and embedded data in a fence), text, json, llm (a short text under its header) or html."""
+    if form == "markdown":
+        body = F.concat(front_matter({"title": title, "url": url}), F.lit("\n"), F.coalesce(markdown, F.lit("")))
+        return body if data is None else F.concat(body, F.when(F.coalesce(data, F.lit("")) != "", F.concat(F.lit("\n\n## Structured Data\n\n```json\n"), data, F.lit("\n```"))).otherwise(""))
+    if form == "text":
+        return plain
+    if form == "json":
+        return F.to_json(F.struct(title.alias("title"), url.alias("url"), markdown.alias("markdown"), plain.alias("plain_text")))
+    if form == "llm":
+        none = F.lit(None).cast("string")
+        return F.concat_ws("\n\n", metadata_header(url, title, none, none, none, word_count(plain)), readable if readable is not None else markdown)
+    if form == "html" and html is not None:
+        return html
+    raise ValueError(f"unknown format: {form}")

@@ -42,6 +42,23 @@ def domain_type(url: Column) -> Column:
     return F.when(url.isNull(), F.lit(None)).otherwise(out)
 
 
+#: Substrings of lower-cased HTML that tell the kind of a page whose URL doesn't.
+PAGE_MARKS: dict[str, list[str]] = {"article": ["<article", "schema.org/article"], "documentation": ["docsearch", "sidebar-nav", "doc-content"]}
+
+
+def page_type(url: Column, html: Column) -> Column:
+    """The kind that the URL shows, else the one that the page's marks do, else 'generic'; of a null URL by the page alone."""
+    low = F.lower(html)
+    out = F.lit("generic")
+    for name, needles in reversed(PAGE_MARKS.items()):
+        hit = F.lit(False)
+        for n in needles:
+            hit = hit | F.contains(low, F.lit(n))
+        out = F.when(F.coalesce(hit, F.lit(False)), name).otherwise(out)
+    known = F.coalesce(domain_type(url), F.lit("generic"))
+    return F.when(known != "generic", known).otherwise(out)
+
+
 def crawl_form(url: Column) -> Column:
     """Without fragment and one trailing slash (not that of the root), scheme and host in lower case; the query stays."""
     path = part(url, 4)

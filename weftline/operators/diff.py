@@ -75,13 +75,20 @@ def text_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([unified(a, b) for a, b in zip(old, new)])
 
 
-def content_diff(old: DataFrame, new: DataFrame, key: str, metadata: list[str], text: str = "markdown", links: str = "links", words: str = "word_count", ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (key, status, text_diff, metadata_changes, links_added, links_removed, word_count_delta) of the keys in both."""
-    fields = [c for c in metadata if c not in ignore]
+#: Fields of a document's metadata that are compared.
+METADATA = (
+    "title description author published_date language url site_name image favicon word_count source_type content_hash file_path last_modified is_truncated technologies external_id seed_url crawl_depth search_query".split()
+)
+
+
+def content_diff(old: DataFrame, new: DataFrame, key: str, metadata: list[str] | None = None, text: str = "markdown", links: str = "links", words: str = "word_count", ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Of the fields that are compared, METADATA unless given: rows (key, status, text_diff, metadata_changes, links_added, links_removed, word_count_delta) of the keys in both."""
+    known = metadata if metadata is not None else [c for c in METADATA if c in old.columns and c in new.columns and c not in (key, words)]
+    fields = [c for c in known if c not in ignore]
     o = old.select(key, F.struct(*{*fields, text, links, words}).alias("o"))
     n = new.select(key, F.struct(*{*fields, text, links, words}).alias("n"))
     hrefs = lambda side: F.coalesce(F.transform(F.col(f"{side}.{links}"), lambda x: x["href"]), F.array().cast("array<string>"))
-    value = lambda side, c: F.col(f"{side}.{c}").cast("string")
+    value = lambda side, c: F.to_json(F.col(f"{side}.{c}")) if old.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(f"{side}.{c}").cast("string")
     changes: Column = F.array_compact(F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.struct(F.lit(c).alias("field"), value("o", c).alias("old"), value("n", c).alias("new"))) for c in fields]))
     j = o.join(n, key).select(
         key,

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..functions import urls as fu
 from ..operators import brand, catalogue, site_pages, verticals
+from ..operators import diff as dif
 from ..operators import relational as rel
 from ..sources import discover
 from ..streaming import events
-from .queries import QUERIES, SQL, query, read
+from .queries import _TYPE, QUERIES, SQL, query, read
 
 _URL = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$', ['s','h','p','t','q','f'])"
 _CLEAN = r"coalesce(nullif(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9_\-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'index')"
@@ -192,6 +193,27 @@ def page_titles(spark, d):
     return extract.extract_pages(some).select("fetch_id", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"))
 
 
+@query(f"SELECT fetch_id, CASE WHEN coalesce({_TYPE}, 'generic') <> 'generic' THEN {_TYPE} WHEN contains(lower(html), '<article') OR contains(lower(html), 'schema.org/article') THEN 'article' WHEN contains(lower(html), 'docsearch') OR contains(lower(html), 'sidebar-nav') OR contains(lower(html), 'doc-content') THEN 'documentation' ELSE 'generic' END AS page_type FROM fetch_results")
+def page_types(spark, d):
+    return read(spark, d, "fetch_results").select("fetch_id", fu.page_type(F.col("url"), F.col("html")).alias("page_type"))
+
+
+@query("""WITH v AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_id) AS f, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, content_id DESC) AS l FROM contents WHERE url IS NOT NULL), o AS (SELECT * FROM v WHERE f = 1 AND l > 1), n AS (SELECT * FROM v WHERE l = 1)
+SELECT n.url, concat_ws(',', CASE WHEN o.title IS DISTINCT FROM n.title THEN 'title' END, CASE WHEN o.author IS DISTINCT FROM n.author THEN 'author' END, CASE WHEN o.published_date IS DISTINCT FROM n.published_date THEN 'published_date' END, CASE WHEN o.language IS DISTINCT FROM n.language THEN 'language' END, CASE WHEN o.site_name IS DISTINCT FROM n.site_name THEN 'site_name' END,
+CASE WHEN o.source_type IS DISTINCT FROM n.source_type THEN 'source_type' END, CASE WHEN o.content_hash IS DISTINCT FROM n.content_hash THEN 'content_hash' END, CASE WHEN o.file_path IS DISTINCT FROM n.file_path THEN 'file_path' END, CASE WHEN o.technologies IS DISTINCT FROM n.technologies THEN 'technologies' END) AS fields,
+o.markdown IS DISTINCT FROM n.markdown AND coalesce(o.markdown, '') <> coalesce(n.markdown, '') AS text_differs, (coalesce(n.word_count, 0) - coalesce(o.word_count, 0))::BIGINT AS word_count_delta FROM o JOIN n ON o.url = n.url""")
+def content_diffs(spark, d):
+    v = rel.versions_of(read(spark, d, "contents"), "url", ["fetched_at", "content_id"])
+    out = dif.content_diff(v.where("version = 1 and versions > 1"), v.where("version = versions and versions > 1"), "url")
+    return out.select("url", F.array_join(F.transform("metadata_changes", lambda c: c["field"]), ",").alias("fields"), F.col("text_diff").isNotNull().alias("text_differs"), "word_count_delta")
+
+
+@query("SELECT content_id, CASE WHEN url IS NULL AND title IS NULL THEN '' ELSE '' END || '---' || chr(10) || CASE WHEN title IS NULL THEN '' ELSE 'title: \"' || replace(title, '\"', '\\\"') || '\"' || chr(10) END || CASE WHEN url IS NULL THEN '' ELSE 'url: \"' || replace(url, '\"', '\\\"') || '\"' || chr(10) END || '---' || chr(10) || chr(10) || coalesce(markdown, '') AS text FROM contents")
+def markdown_with_front_matter(spark, d):
+    c = F.col
+    return read(spark, d, "contents").select("content_id", ft.projection("markdown", c("title"), c("url"), c("markdown"), c("plain_text")).alias("text"))
+
+
 # -- sites: each extractor's round trip over payloads made of the documents -----
 
 _PAYLOAD = "SELECT content_id, title, word_count AS n, CASE WHEN word_count IS NULL THEN NULL ELSE word_count > 200 END AS flag FROM contents"

@@ -120,21 +120,64 @@ def parse_subtitles(data: bytes) -> dict:
     return _doc("\n".join(lines), source_type="subtitle", start_seconds=min(starts, default=None), end_seconds=max(ends, default=None), source=source)
 
 
+def _streams(data: bytes) -> Iterator[bytes]:
+    """Contents of a file's streams, unpacked where they are packed."""
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", data, re.S):
+        try:
+            yield zlib.decompressobj().decompress(m.group(1), ENTRY_BYTES)
+        except zlib.error:
+            yield m.group(1)
+
+
+def _characters(streams: list[bytes]) -> dict[bytes, str]:
+    """What the codes of fonts mean, by the maps to Unicode that a file carries."""
+    out: dict[bytes, str] = {}
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    for raw in streams:
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", raw, re.S):
+            for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+                out.setdefault(bytes.fromhex(a.decode()), text(b))
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", raw, re.S):
+            for a, z, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+                for k in range(min(int(z, 16) - int(a, 16) + 1, 65536)):
+                    out.setdefault((int(a, 16) + k).to_bytes(len(a) // 2, "big"), chr((int(b, 16) + k) & 0x10FFFF) if len(b) <= 4 else text(b))
+    return out
+
+
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+_PDF_TEXT = re.compile(rb"\(((?:\\.|[^()\\])*)\)|<([0-9A-Fa-f\s]*)>|(-?\d+(?:\.\d+)?)(?=[\s(<\]])|\b(Td|TD|T\*|Tm)(?![\w*])|('|\")", re.S)
+
+
 def parse_pdf(data: bytes) -> dict:
-    """Text operators of the pages' streams, with plain encodings only; fonts with their own encoding can't be read this way."""
+    """Text operators of the pages' streams: literal and hexadecimal strings, by the file's maps to Unicode, else as Latin-1; new lines where the text moves."""
     if not data.lstrip()[:5] == b"%PDF-":
         raise ValueError("no PDF header")
+    streams = list(_streams(data))
+    known = _characters(streams)
+    width = max(map(len, known), default=1)
+
+    def decoded(code: bytes) -> str:
+        if not known:
+            return code.decode("latin-1")
+        return "".join(known.get(code[i : i + width], code[i : i + width].decode("latin-1") if width == 1 else "") for i in range(0, len(code), width))
+
     out, pages = [], len(re.findall(rb"/Type\s*/Page\b(?!s)", data))
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        raw = m.group(1)
-        try:
-            raw = zlib.decompressobj().decompress(raw, ENTRY_BYTES)
-        except zlib.error:
-            pass
-        for block in re.findall(rb"BT(.*?)ET", raw, re.S):
-            words = [re.sub(rb"\\([()\\])", rb"\1", w).decode("latin-1") for w in re.findall(rb"\(((?:\\.|[^()\\])*)\)", block)]
-            if words:
-                out.append("".join(words))
+    for raw in streams:
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", raw, re.S):
+            words: list[str] = []
+            for m in _PDF_TEXT.finditer(block):
+                if m.group(1) is not None:
+                    words.append(decoded(re.sub(rb"\\(\d{1,3}|\r?\n|.)", lambda e: bytes([int(e.group(1), 8) & 255]) if e.group(1)[:1].isdigit() else _ESCAPES.get(e.group(1), e.group(1).strip(b"\r\n")), m.group(1), flags=re.S)))
+                elif m.group(2) is not None:
+                    digits = re.sub(rb"\s", b"", m.group(2)).decode()
+                    words.append(decoded(bytes.fromhex(digits + "0" * (len(digits) % 2))))
+                elif m.group(3) is not None:
+                    if words and float(m.group(3)) < -200 and not words[-1].endswith((" ", "\n")):
+                        words.append(" ")  # a wide step back within an array is a space
+                elif words and not words[-1].endswith("\n"):
+                    words.append("\n")
+            if "".join(words).strip():
+                out.append("".join(words).strip("\n"))
     info = {k.decode().lower(): v.decode("latin-1") for k, v in re.findall(rb"/(Title|Author|Subject|Creator)\s*\(((?:\\.|[^()\\])*)\)", data)}
     return _doc("\n".join(out), title=info.get("title"), page_count=pages, **{k: v for k, v in info.items() if k != "title"})
 
@@ -242,6 +285,8 @@ def parse_file(path: str, data: bytes) -> dict:
         return base | {"error": f"unknown format: {form}"}
     try:
         found = PARSERS[form](data)
+        if form == "json":  # a stored extraction without its address is addressed by its path
+            found["provenance"].setdefault("url", path if "://" in path else f"file://{path}")
         return base | found | {"title": found["title"] or name.rsplit(".", 1)[0]}
     except Exception as e:  # noqa: BLE001 - any fault of a file is data
         return base | {"error": f"{type(e).__name__}: {e}"[:300]}
