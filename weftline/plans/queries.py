@@ -14,7 +14,7 @@ from ..operators import relational as rel
 from ..operators import store
 from ..operators import vector as vec
 from ..operators.crawl import crawl
-from ..session import ship
+from ..session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -252,12 +252,12 @@ def chunks_per_page(spark, d):
 
 @query()
 def extract_markdown(spark, d):
-    return extract.extract_pages(read(spark, d, "fetch_results"))
+    return extract.extract_pages(spread(read(spark, d, "fetch_results").select("fetch_id", "url", "html")))
 
 
 @query()
 def page_chunks(spark, d):
-    return chunk.chunk_pages(read(spark, d, "contents"), target=256)
+    return chunk.chunk_pages(spread(read(spark, d, "contents").select("url", "markdown")), target=256)
 
 
 _C = r"regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$', ['s','h','p','t','q','f'])"
@@ -291,7 +291,7 @@ def store_merge(spark, d):
 
 @query()
 def readable_text(spark, d):
-    return readable.to_readable(read(spark, d, "contents"), "content_id", "markdown")
+    return readable.to_readable(spread(read(spark, d, "contents").select("content_id", "markdown")), "content_id", "markdown")
 
 
 _CSS = r"""WITH c AS (SELECT fetch_id, concat_ws(';', array_to_string(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1), ';'), array_to_string(regexp_extract_all(html, '(?is)\sstyle\s*=\s*"([^"]*)"', 1), ';')) AS css FROM fetch_results),
@@ -306,7 +306,7 @@ SELECT fetch_id, hex, n AS count, rank FROM (SELECT *, row_number() OVER (PARTIT
 
 @query(_CSS)
 def brand_colours(spark, d):
-    found = brand.colours(brand.declarations(read(spark, d, "fetch_results"), "fetch_id", "html"), "fetch_id")
+    found = brand.colours(brand.declarations(spread(read(spark, d, "fetch_results").select("fetch_id", "html")), "fetch_id", "html"), "fetch_id")
     return found.select("fetch_id", "hex", "count", F.col("rank").cast("long").alias("rank"))
 
 

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,3 +49,15 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+_MOVES = re.compile(r"\b(?:Join|Aggregate|Repartition\w*|RebalancePartitions|Sort|Window|Distinct|GlobalLimit|LocalLimit|Union)\b")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table for a heavy kernel: one of fewer partitions than there are cores is spread over these; others, and what isn't a plain scan, stay as they are."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if _MOVES.search(plan) or df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
