@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import counter, slices
 
 #: Rows that are tokenized to fit and to correct, at most about so many in all.
@@ -127,7 +128,7 @@ def token_budget(df: DataFrame, tags: DataFrame, text: str = "text", vocabulary:
     base = _base(df, tags, text, key)
     weights = fitted(base, vocabulary, sample_rows)
     # A sum of predictions is the prediction of the sums, so only the sums of the counts are shuffled.
-    sums = base.withColumn("_full", _full()).groupBy("source_type", "language", "domain").agg(F.count("*").alias("rows"), F.sum("_full").alias("_full"), *[F.sum(v).alias(k) for k, v in features(F.col("_text")).items()])
+    sums = spread(base).withColumn("_full", _full()).groupBy("source_type", "language", "domain").agg(F.count("*").alias("rows"), F.sum("_full").alias("_full"), *[F.sum(v).alias(k) for k, v in features(F.col("_text")).items()])
     return sums.select("source_type", "language", "domain", "rows", predicted(weights).alias("tokens"))
 
 
@@ -135,5 +136,5 @@ def token_estimates(df: DataFrame, tags: DataFrame, text: str = "text", vocabula
     """Rows (*key*, source_type, language, domain, tokens): the estimate of every row of *df*, as :func:`token_budget` adds them up."""
     base = _base(df, tags, text, key)
     weights = fitted(base, vocabulary, sample_rows)
-    counts = base.select("_key", "source_type", "language", "domain", _full().alias("_full"), *[v.alias(k) for k, v in features(F.col("_text")).items()])
+    counts = spread(base).select("_key", "source_type", "language", "domain", _full().alias("_full"), *[v.alias(k) for k, v in features(F.col("_text")).items()])
     return counts.select(F.col("_key").alias(key), "source_type", "language", "domain", predicted(weights).alias("tokens"))

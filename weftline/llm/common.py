@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 from . import bpe
 
 #: Characters that are handed to a Python kernel at once; it bounds a worker's memory whatever the row count of an Arrow batch.
 BATCH_CHARS = 3_000_000
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table; with *columns* only these, spread over the cores where it has few partitions, for a heavy kernel."""
+    df = ship(spark).read.parquet(f"{folder}/{name}.parquet")
+    return spread(df.select(*columns)) if columns else df
 
 
 def shared_folder(spark: SparkSession) -> str:

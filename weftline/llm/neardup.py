@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import stored
 from .shingles import mix, shingle_sets
 
@@ -131,7 +132,7 @@ def classes(df: DataFrame, key: str, text: str, t: float) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["_id", "n", "same", "f", "g", "bits", "words", "lead"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = some.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"_id {kind}, n int, same long, f long, g long, bits binary, words array<long>, lead int")
+    out = spread(some.select(F.col(key).alias("_id"), F.col(text).alias("_text"))).mapInPandas(run, f"_id {kind}, n int, same long, f long, g long, bits binary, words array<long>, lead int")
     return stored(out, "sketches")
 
 

@@ -26,7 +26,7 @@ def limits(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(table(spark, d, "chunks"), *limits(spark, d, "chunk"))
+    return split_oversized(table(spark, d, "chunks", "chunk_id", "text", "char_offset", "section_header"), *limits(spark, d, "chunk"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_marked(spark: SparkSession, d: str) -> DataFrame:
-    return residue(table(spark, d, "fetch_results"))
+    return residue(table(spark, d, "fetch_results", "fetch_id", "url", "html"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,25 +71,25 @@ _MARKUP = {"contents": ("content_id", {"markdown": False, "plain_text": True}),
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    out = [clean_markup(table(spark, d, t), key, columns, with_text=False).where("found").select(F.lit(t).alias("source_table"), "record_id") for t, (key, columns) in _MARKUP.items()]
+    out = [clean_markup(table(spark, d, t, key, *columns), key, columns, with_text=False).where("found").select(F.lit(t).alias("source_table"), "record_id") for t, (key, columns) in _MARKUP.items()]
     return out[0].unionByName(out[1])
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
-    out = [clean_markup(table(spark, d, t), key, columns).withColumn("source_table", F.lit(t)) for t, (key, columns) in _MARKUP.items()]
+    out = [clean_markup(table(spark, d, t, key, *columns), key, columns).withColumn("source_table", F.lit(t)) for t, (key, columns) in _MARKUP.items()]
     return out[0].unionByName(out[1], allowMissingColumns=True)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return furniture(table(spark, d, "contents"))
+    return furniture(table(spark, d, "contents", "content_id", "url", "markdown"))
 
 
 def p6_main(spark: SparkSession, d: str) -> DataFrame:
-    return main_body(table(spark, d, "contents"), "content_id", "url", "markdown")
+    return main_body(table(spark, d, "contents", "content_id", "url", "markdown"), "content_id", "url", "markdown")
 
 
 def p6_main_html(spark: SparkSession, d: str) -> DataFrame:
-    return main_body(table(spark, d, "fetch_results"), "fetch_id", "url", "html", html=True)
+    return main_body(table(spark, d, "fetch_results", "fetch_id", "url", "html"), "fetch_id", "url", "html", html=True)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,11 +107,11 @@ def p7_group_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_ids(table(spark, d, "documents"))
+    return encode_ids(table(spark, d, "documents", "doc_id", "text"))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents"), capacity=limits(spark, d, "container")[0])
+    return pack(table(spark, d, "documents", "doc_id", "text"), capacity=limits(spark, d, "container")[0])
 
 
 def p10_scored(spark: SparkSession, d: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import slices
 
 #: Labelled documents of either class that are fitted on, at most; the first by hash. Fit only: every document is scored.
@@ -325,7 +326,7 @@ def score_content(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(points), pa.array(points > bar)], names=["_key", "_source", "score", "unacceptable"])
 
     kind, where = df.schema[key].dataType.simpleString(), df.schema[source].dataType.simpleString()
-    out = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, _source {where}, score double, unacceptable boolean")
+    out = spread(df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))).mapInArrow(run, f"_key {kind}, _source {where}, score double, unacceptable boolean")
     return out.withColumnsRenamed({"_key": key, "_source": source})
 
 
