@@ -617,3 +617,17 @@ def to_readable(df: DataFrame, key: str, text: str) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, text string, links array<struct<label:string,href:string>>").withColumnRenamed("k", key)
+
+
+def steps(df: DataFrame, key: str, text: str, *chosen: Callable[[str], str]) -> DataFrame:
+    """Rows (key, text) after some of the steps, in their order; null and empty texts stay."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = pdf["t"].tolist()
+            for step in chosen:
+                out = [step(t) if t else t for t in out]
+            yield pd.DataFrame({"k": pdf["k"], "text": out})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..functions import urls as fu
-from ..operators import brand, catalogue, site_pages, verticals
+from ..operators import brand, catalogue, readable, site_pages, verticals
 from ..operators import diff as dif
 from ..operators import relational as rel
 from ..sources import discover
@@ -336,3 +336,17 @@ def search_answers(spark, d):
     return discover.search_results(answers).select("query", "rank", "url")
 
 
+
+
+# -- steps of readable text, one by one ------------------------------------------
+
+def _step(name: str, step, sql: str) -> None:
+    QUERIES[f"step_{name}"] = lambda spark, d: readable.steps(read(spark, d, "contents"), "content_id", "markdown", step)
+    SQL[f"step_{name}"] = f"SELECT content_id, CASE WHEN markdown = '' THEN '' ELSE {sql} END AS text FROM contents"
+
+
+_step("linked_images", readable.unwrap_linked_images, r"regexp_replace(markdown, '\[!\[([^\]]*)\]\([^)]*\)\]\(([^)]*)\)', '[\1](\2)' || chr(10), 'g')")
+_step("image_names", readable.strip_image_names, r"regexp_replace(markdown, '(?mi)^\S+\.(?:png|jpe?g|gif|svg|webp|avif|ico)[ \t]*\n?', '', 'g')")
+_step("blank_lines", readable.collapse_blank_lines, r"regexp_replace(regexp_replace(regexp_replace(markdown, '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')")
+_step("empty_headings", readable.strip_empty_headings, r"regexp_replace(markdown, '(?mi)^[ \t]*#{1,6}[ \t]+(?:[^\p{L}\p{N}_\n]*|footer|header|navigation|sidebar|menu)[ \t]*(?:\n|\z)|^#{1,6}[ \t]*(?:\n|\z)', '', 'g')")
+_step("controls", readable.strip_controls, r"array_to_string([x FOR x IN string_split(markdown, chr(10)) IF NOT (contains(lower(x), 'your browser does not support') OR (strlen(trim(x)) <= 120 AND regexp_matches(x, '^\s*(?:(?:navigate_before|navigate_next|chevron_left|chevron_right|arrow_back|arrow_forward|arrow_upward|arrow_downward|arrow_drop_down|arrow_drop_up|arrow_left|arrow_right|expand_more|expand_less|unfold_more|unfold_less|first_page|last_page|more_horiz|more_vert|open_in_new|open_in_full|close_fullscreen|fullscreen|fullscreen_exit|close|search|menu|share|←|→|↑|↓|▸|▾|◀|▶|⤓|⏵|›|‹|»|«)(?:\s+|$))+$')))], chr(10))")
