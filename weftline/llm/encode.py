@@ -29,3 +29,16 @@ def encode_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabular
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+
+
+def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """Rows (*key*, text): the text of each list of token ids; an empty list gives an empty text, null gives null. The inverse of :func:`encode_ids` for texts that aren't null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(vocabulary).bytes_of
+        for batch in batches:
+            texts = [None if row is None else b"".join(map(known.__getitem__, row)).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_key", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("_key"), F.col(ids).alias("_ids")).mapInArrow(run, f"_key {kind}, text string").withColumnRenamed("_key", key)

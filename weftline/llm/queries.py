@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .budget import token_budget, token_estimates
 from .chunking import split_oversized
 from .common import table
-from .encode import encode_ids
+from .encode import decode_ids, encode_ids
 from .markup import clean_markup
 from .neardup import expand, groups, similar_pairs
 from .pack import pack
@@ -34,6 +34,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where((F.col("piece_index") == 0) & (F.col("source_tokens") > limit)).select("chunk_id")
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each text put together again from its pieces, by their offsets, and how many pieces are above the limit."""
+    limit = limits(spark, d, "chunk")[0]
+    piece = F.struct("piece_index", F.col("char_offset").alias("at"), F.col("text").alias("t"))
+    whole = p1_pieces(spark, d).groupBy("chunk_id").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.count_if(F.col("token_estimate") > limit).alias("above"))  # bounded by one text
+    first = F.element_at("p", 1)["at"]
+    text = F.aggregate("p", F.lit(""), lambda s, x: F.concat(s, F.substring(x["t"], (F.length(s) - (x["at"] - first) + 1).cast("int"), F.length(x["t"]))))
+    return whole.select("chunk_id", text.alias("text"), "above")
+
+
 def p2_marked(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "fetch_results", "fetch_id", "url", "html"))
 
@@ -110,6 +120,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_ids(table(spark, d, "documents", "doc_id", "text"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return decode_ids(p8_ids(spark, d))
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were packed, and containers above the capacity."""
+    capacity = limits(spark, d, "container")[0]
+    packed = p9_containers(spark, d)
+    filled = packed.groupBy("container_id").agg(F.sum("tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("above"))
+    return packed.agg(F.countDistinct("doc_id").alias("documents")).crossJoin(filled)  # two single rows
+
+
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents", "doc_id", "text"), capacity=limits(spark, d, "container")[0])
 
@@ -126,7 +148,12 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(p10_scored(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p4_budget_rows, p4_estimates, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p7_found, p7_groups, p7_group_chunks, p8_ids, p9_containers, p10_found, p10_scored, p10_rates)}
+def p10_rate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of the rates and their documents, which SQL can count."""
+    return p10_rates(spark, d).select("source", "documents")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_marked, p3_found, p3_clean, p3_sequences, p4_budget, p4_budget_rows, p4_estimates, p5_found, p5_clean, p6_found, p6_main, p6_main_html, p7_found, p7_groups, p7_group_chunks, p8_ids, p8_decoded, p9_containers, p9_checked, p10_found, p10_scored, p10_rates, p10_rate_rows)}
 
 _REPEATED = """
 WITH lines AS (
@@ -144,6 +171,10 @@ SQL: dict[str, str] = {
     + """, gone AS (SELECT row_id, count(*) AS n FROM occurrences GROUP BY row_id), whole AS (SELECT row_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM point_payloads),
 kept AS (SELECT row_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM whole w WHERE NOT EXISTS (SELECT 1 FROM occurrences o WHERE o.row_id = w.row_id AND o.line_no = w.line_no) GROUP BY row_id)
 SELECT p.row_id, CASE WHEN g.n IS NULL THEN p.text ELSE coalesce(k.text, '') END AS text, CAST(coalesce(g.n, 0) AS INTEGER) AS removed FROM point_payloads p LEFT JOIN gone g ON g.row_id = p.row_id LEFT JOIN kept k ON k.row_id = p.row_id""",
+    "p1_rebuilt": "SELECT chunk_id, text, 0 AS above FROM chunks",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_checked": "SELECT count(*) AS documents, 0 AS above FROM documents",
+    "p10_rate_rows": "SELECT source, count(*) AS documents FROM documents GROUP BY source",
     "p7_found": r"""
 WITH words AS (SELECT content_id, regexp_extract_all(regexp_replace(lower(markdown), '([\x{3041}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM contents WHERE markdown <> ''),
 grams AS (SELECT DISTINCT content_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM words WHERE len(w) >= 3),
