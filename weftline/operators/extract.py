@@ -513,7 +513,7 @@ def extract(html: str | None, url: str | None = None, include: str | None = None
 
     def render(nodes: list[Element]) -> tuple[Markdown, str]:
         md = Markdown(url or "", dropped)
-        return md, re.sub(r"\n{3,}", "\n\n", "\n\n".join(b for n in nodes for b in md.blocks(n))).strip()
+        return md, "\n\n".join(b if b.startswith("```") else re.sub(r"\n{3,}", "\n\n", b) for n in nodes for b in md.blocks(n)).strip()
 
     known: dict[str, int] = {}
 

@@ -277,7 +277,7 @@ def crawl_levels(spark, d):
     pages = read(spark, d, "contents").where(F.col("url").isNotNull())
     links = pages.select("url", F.posexplode("links.href").alias("pos", "href"))
     start = pages.groupBy("url").agg(F.max(F.size("links")).alias("n")).orderBy(F.desc("n"), "url").first()["url"]
-    return crawl(spark, links, start, max_depth=2, max_pages=1_000_000).select("url", F.col("depth").cast("int").alias("depth"), "found")
+    return crawl(spark, links, start, max_depth=2, max_pages=50_000).select("url", F.col("depth").cast("int").alias("depth"), "found")
 
 
 @query(
