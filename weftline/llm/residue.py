@@ -33,8 +33,8 @@ OWN_CHARS, OWN_PAGES = 60, 2
 NOTICE_WORDS = 60
 #: Copies of a page vary a longer text a little: whether it is a page's own is told by its exact wording, not by its template.
 LONG_WORDS = 40
-#: Verdicts on texts that one worker keeps.
-CACHE_TEXTS = 200_000
+#: Verdicts on texts of at most so many characters that one worker keeps.
+CACHE_TEXTS, KEPT_CHARS = 20_000, 200
 #: A message template: on so many pages of so many hosts, of which so large a part has no text of its own.
 PAGES, HOSTS, BARE = 3, 2, 0.6
 
@@ -129,6 +129,24 @@ def needed(parsed) -> frozenset[str] | None:
     return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between the bars that are in no bracket."""
+    out, depth, i, start = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
 class Phrases:
     """A pattern of many alternatives, of which only those are tried whose own strings the text holds."""
 
@@ -136,32 +154,39 @@ class Phrases:
     FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
 
     def __init__(self, pattern: str):
-        parsed = _parser.parse(pattern, re.I)
         self.whole = re.compile(pattern, re.I)
-        self.strings = needed(parsed)
-        self.wide = bool(self.strings) and not any(x.isascii() for x in self.strings)
-        self.finder = ahocorasick.Automaton() if self.strings else None
-        for x in self.strings or ():
-            self.finder.add_word(x, x)
-        if self.finder:
-            self.finder.make_automaton()
+        self.parts = [re.compile(x, re.I) for x in alternatives(pattern)]
+        own = [needed(_parser.parse(x, re.I)) for x in alternatives(pattern)]
+        self.always = [i for i, x in enumerate(own) if not x]
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(own):
+            for string in x or ():
+                places.setdefault(string, []).append(i)
+        self.strings = frozenset(places)
+        self.wide = not self.always and not any(x.isascii() for x in places)
+        self.finder = ahocorasick.Automaton()
+        for string, at in places.items():
+            self.finder.add_word(string, tuple(at))
+        self.finder.make_automaton()
+
+    def _tried(self, text: str) -> set[int] | range:
+        """Alternatives that may match; the others don't."""
+        if text.isascii():
+            if self.wide:
+                return set()
+        elif self.FOLDED.search(text):
+            return range(len(self.parts))
+        return {*self.always, *(i for _, at in self.finder.iter(text.lower()) for i in at)}
 
     def search(self, text: str) -> bool:
-        return self.possible(text) and bool(self.whole.search(text))
+        return any(self.parts[i].search(text) for i in self._tried(text))
 
     def count(self, text: str) -> int:
         return sum(1 for _ in self.whole.finditer(text)) if self.possible(text) else 0
 
     def possible(self, text: str) -> bool:
         """Whether the text holds a string that a match needs; it never denies a match."""
-        if self.finder is None:
-            return True
-        if text.isascii():
-            if self.wide:
-                return False
-        elif self.FOLDED.search(text):
-            return True
-        return next(self.finder.iter(text.lower()), None) is not None
+        return bool(self._tried(text))
 
 
 _LATIN, _OTHER = Phrases(NOTICE), Phrases(NOTICE_OTHER)
@@ -334,21 +359,27 @@ def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """Rows (_key, _url, _host, _title, gap, code, trace, kind, chars, _mask, _x, _leaf, notice, long): one for each block, or one without for a page that shows none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[int, int, bool, bool]] = {}
+        known: dict[str, tuple[bool, str, int, int, bool, bool]] = {}
 
-        def judged(mask: str) -> tuple[int, int, bool, bool]:
-            if mask not in known:
-                if len(known) > CACHE_TEXTS or len(mask) > 4_000:
-                    known.clear()
+        def judged(text: str) -> tuple[bool, str, int, int, bool, bool]:
+            """Of a visible text: gap, mask, hash of the mask, leaf, notice, long; the short ones, which pages repeat, are kept."""
+            found = known.get(text)
+            if found is None:
+                mask = masked(text)
                 words, name = leaf(mask)
-                known[mask] = _hash(mask), _hash(name), is_notice(mask, len(words)), len(words) > LONG_WORDS
-            return known[mask]
+                found = has_gap("text", text), mask, _hash(mask), _hash(name), is_notice(mask, len(words)), len(words) > LONG_WORDS
+                if len(text) <= KEPT_CHARS:
+                    if len(known) > CACHE_TEXTS:
+                        known.clear()
+                    known[text] = found
+            return found
 
         for pdf in (x for whole in frames for x in runs(whole, "_html")):
             rows = []
             for k, u, h in zip(pdf["_key"], pdf["_url"], pdf["_html"]):
                 found, code = blocks(h)
-                gap = any(has_gap(kind, text) for kind, text, _ in found)
+                told = [judged(text) for _, text, _ in found]
+                gap = any(t[0] for (kind, _, _), t in zip(found, told) if kind != "noscript")
                 site = re.match(r"^[a-z]+://([^/?#]+)", u or "")
                 page, host = _hash(u or f"\x00{k}"), _hash(site.group(1).lower() if site else "")
                 name = next((text for kind, text, _ in found if kind == "head"), None) or next((text for kind, text, _ in found if kind == "title"), "")
@@ -356,10 +387,9 @@ def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 title = _hash(letters) if letters else page
                 trace = bool(code and _TRACE.search(code)) and not any(kind == "text" for kind, _, _ in found)
                 listing = len(code) >= OWN_CHARS  # a path or a name set as code is no body
-                kept = [(kind, text, free) for kind, text, free in found if kind not in ("link", "title")]
-                for kind, text, free in kept:
-                    mask = masked(text)
-                    rows.append((k, page, host, title, gap, listing, trace, kind, max(0, free), mask, *judged(mask)))
+                kept = [(kind, free, t) for (kind, _, free), t in zip(found, told) if kind not in ("link", "title")]
+                for kind, free, (_, *own) in kept:
+                    rows.append((k, page, host, title, gap, listing, trace, kind, max(0, free), *own))
                 if not kept:
                     rows.append((k, page, host, title, gap, listing, trace, "", 0, None, None, None, False, False))
             yield pd.DataFrame(rows, columns=["_key", "_url", "_host", "_title", "gap", "code", "trace", "kind", "chars", "_mask", "_x", "_leaf", "notice", "long"]).astype({"_x": "Int64", "_leaf": "Int64"})
