@@ -378,7 +378,7 @@ def _scan(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
             rows = []
             for k, u, h in zip(pdf["_key"], pdf["_url"], pdf["_html"]):
                 found, code = blocks(h)
-                told = [judged(text) for _, text, _ in found]
+                told = [(has_gap(kind, text),) if kind in ("link", "title") else judged(text) for kind, text, _ in found]
                 gap = any(t[0] for (kind, _, _), t in zip(found, told) if kind != "noscript")
                 site = re.match(r"^[a-z]+://([^/?#]+)", u or "")
                 page, host = _hash(u or f"\x00{k}"), _hash(site.group(1).lower() if site else "")
