@@ -63,6 +63,37 @@ def test_long_notices_and_paths_in_code(spark):
     assert all(got[i] for i in (*range(8), 20)) and not any(got[30 + i] for i in range(8))
 
 
+def test_long_texts_are_not_searched_for_every_phrase(monkeypatch):
+    class Whole:
+        def finditer(self, text):
+            raise AssertionError("all alternatives are tried")
+
+    passing = "the next page is missing here " + "a river runs by old stone walls " * 30
+    notice = "access denied and the page is gone, come back later " * 7
+    for phrases in (residue._LATIN, residue._OTHER):
+        monkeypatch.setattr(phrases, "whole", Whole())
+    assert not residue.is_notice(passing, len(residue.leaf(passing)[0])) and residue.is_notice(notice, len(residue.leaf(notice)[0]))
+
+
+def test_counts_and_masks_of_plain_patterns():
+    slots = residue.re.compile(r"https?://\S+|(?<![\w<])/[\w\-./%?=&#]+|\b[0-9a-f]{6,}\b|\d+(?:[.:,\-]\d+)*", residue.re.I)
+    odd = ["HTTPſ://a/b c/d /e?f=1 deadBEEF decade9 1.2:3-4, ٣٤,٥ <*>/x _/y 7abcdef0z", "access denied access denied not found " * 30, "ſcripts must be enabled " * 40, "доступ закрыт, not found " * 40]
+    for text in odd + [line for t in column("documents", "text") + column("fetch_results", "html") for line in t.split("\n")]:
+        assert residue.masked(text) == (slots.sub("<*>", text) if residue._VARIES.search(text) else text)
+        words = len(text.split())
+        if words > residue.NOTICE_WORDS:
+            plain = [sum(1 for _ in x.whole.finditer(text)) for x in (residue._LATIN, residue._OTHER)]
+            assert [residue._LATIN.count(text), residue._OTHER.count(text)] == plain
+            assert residue.is_notice(text, words) is (sum(plain) * residue.NOTICE_WORDS >= words)
+
+
+def test_a_page_without_blocks_leaves_the_hashes_of_others_whole(spark):
+    pages = [(1, "https://a.com/", "<h1>River</h1><p>Stone walls by the river</p>"), (2, "https://b.com/", "<div></div>"), (3, "https://c.com/", "<p>Boats pass 12 bridges</p>")]
+    rows = residue._scan(spark.createDataFrame(pages, "fetch_id long, url string, html string").coalesce(1), "fetch_id", "url", "html").collect()
+    assert len(rows) == 4 and [r["_x"] for r in rows if r["_key"] == 2] == [None]
+    assert all((r["_x"], r["_leaf"]) == (residue._hash(r["_mask"]), residue._hash(residue.leaf(r["_mask"])[1])) for r in rows if r["_mask"])
+
+
 # -- 3 ------------------------------------------------------------------------
 
 def test_lines_know_their_longest_sequence(spark):
